@@ -3,8 +3,8 @@
 Let N(g) be the number of open sequences with g free tokens. Each piece goes where the sum of N(g)^2 is smallest
 afterwards: into a new sequence, or into an open one of any gap that holds it. Keeping the counts of all gaps low
 keeps gaps of every size on offer, and so waste low. Pieces are dealt evenly over groups of about `GROUP` pieces by a
-hash, packed in the order of that hash, and every group is packed apart. At a group's end, under-filled sequences are
-emptied into the gaps of the others, fullest first.
+hash, packed in the order of that hash, and every group is packed apart. What a group's end leaves open with more than
+1/`SLACK` of its room is taken out once more and placed largest first, each piece into the tightest gap.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, ship, stage, table, texts
 from .library_bpe import encoder
 
-CAPACITY, GROUP, END = 2048, 50_000, 0
+CAPACITY, GROUP, SLACK, END = 2048, 50_000, 256, 0
 FULL_FROM, PACKED_FROM = 1 << 62, 1 << 61
 
 
@@ -72,24 +72,25 @@ def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int
         if left := into - s:
             by_gap.setdefault(left, []).append(at)
             count[left] += 1
-    return consolidated(bins, sizes, capacity)
+    fill = [int(sizes[b].sum()) for b in bins]
+    enough = capacity - capacity // SLACK
+    kept = [b for b, f in zip(bins, fill, strict=True) if f >= enough]
+    return kept + best_fit_decreasing([i for b, f in zip(bins, fill, strict=True) if f < enough for i in b], sizes, capacity)
 
 
-def consolidated(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Moves whole open sequences into the gaps of fuller ones, largest content first, into the tightest gap."""
-    fill = [int(sizes[b].sum()) for b in bins]
-    out = [b for b, f in zip(bins, fill, strict=True) if f == capacity]
+def best_fit_decreasing(items: list[int], sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Largest piece first, each into the tightest gap that holds it."""
+    out: list[list[int]] = []
     gaps: list[tuple[int, int]] = []
-    for f, b in sorted(((f, b) for f, b in zip(fill, bins, strict=True) if f < capacity), key=lambda x: -x[0]):
-        k = bisect_left(gaps, (f, -1))
-        if k < len(gaps):
-            gap, at = gaps.pop(k)
-            out[at] = out[at] + b
-        else:
-            gap, at = capacity, len(out)
-            out.append(b)
-        if gap > f:
-            insort(gaps, (gap - f, at))
+    for i in sorted(items, key=lambda i: -sizes[i]):
+        s = int(sizes[i])
+        k = bisect_left(gaps, (s, -1))
+        gap, at = gaps.pop(k) if k < len(gaps) else (capacity, len(out))
+        if at == len(out):
+            out.append([])
+        out[at].append(i)
+        if gap > s:
+            insort(gaps, (gap - s, at))
     return out
 
 
