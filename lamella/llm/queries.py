@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_stream import op4_bpe_stream
+from .language import op5_language
 from .packing import op10_packing
 from .simhash import op3_simhash
 from .token_files import op2_token_files
+from .toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_files": op2_token_files,
         "op3_simhash": op3_simhash,
+        "op4_bpe_stream": op4_bpe_stream,
+        "op5_language": op5_language,
+        "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
     }
 
