@@ -77,6 +77,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def again(df: DataFrame) -> DataFrame:
+    """Another reading of a staged table, for joining it with itself."""
+    return df.sparkSession.read.schema(df.schema).parquet(df._staged_at)
+
+
 def unstage(df: DataFrame) -> None:
     with contextlib.suppress(Exception):
         remove(df.sparkSession, df._staged_at)
