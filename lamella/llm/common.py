@@ -99,6 +99,15 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sc
     return df.mapInArrow(run, schema)
 
 
+def rows_where(df: DataFrame, judge: Callable[[list[str]], list[bool]], rows: int = 2048) -> DataFrame:
+    """The rows of df whose text (null: empty) the judge keeps, with all columns."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.filter(pa.array(judge(texts(b.column("text"))), pa.bool_()))
+
+    return map_batches(df, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), rows)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8, null as empty."""
     return column.cast(pa.binary()).fill_null(b"").to_pylist()

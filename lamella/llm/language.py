@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, ship, table, texts
+from .common import map_batches, rows_where, ship, table, texts
 
 DIM, SCALE, BLOCK = 1 << 15, 30.0, 1 << 16
 #: The training sample: rows per language and in all, and the longest text that is taken into it.
@@ -175,6 +175,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")
 
 
+def identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The documents, with all columns, whose language is known with a score of at least `least`."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batch: list[str]) -> list[bool]:
+        return [lang != UNKNOWN and score >= least for lang, score in map(sent.value.predict, batch)]
+
+    return rows_where(docs, judge)
+
+
 def remainder(by: int) -> F.Column:
     """crc32 of the doc_id as text, by a divisor; null ids give -1."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(by)), F.lit(-1))

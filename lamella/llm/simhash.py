@@ -160,6 +160,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
     return seen.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def one_of_each(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
+    """docs without near duplicates: of each component the document with the smallest doc_id, with all columns.
+
+    Rows that repeat a doc_id count as one document. Rows without doc_id go by a hash of their text.
+    """
+    name = F.coalesce(F.col("doc_id"), -1 - F.shiftrightunsigned(F.xxhash64("text"), 2))
+    groups = near_duplicates(docs.select(name.alias("doc_id"), "text"), words, distance)
+    kept = stage(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("keep_id")).agg(F.count("*").alias("copies")), "kept")
+    out = docs.join(kept, name == F.col("keep_id"))
+    repeated = out.where("copies > 1").dropDuplicates(["keep_id"])
+    return out.where("copies = 1").unionByName(repeated).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

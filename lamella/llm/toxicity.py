@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, texts
+from .common import map_batches, rows_where, table, texts
 from .language import remainder
 
 #: The training sample: rows per label, and the longest text that is taken into it.
@@ -167,6 +167,12 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, score double, predicted int")
 
 
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents, with all columns, that score below the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return rows_where(docs, lambda batch: [sent.value.score(t) < THRESHOLD for t in batch])
+
+
 def learnable(df: DataFrame) -> DataFrame:
     return df.where((remainder(3) != 1) & F.col("doc_id").isNotNull())
 
