@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, ship, stage, table, texts
+from .common import map_batches, ship, stage, table
 from .library_bpe import encoder
 
 CAPACITY, GROUP, SLACK, END = 2048, 50_000, 256, 0
@@ -34,8 +34,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         encode = encoder(vocabulary)
         rows, piece, start, length, crc = [], [], [], [], []
-        for i, ids in enumerate(encode(texts(b.column("text")))):
-            ids = np.r_[np.frombuffer(ids, encode.dtype), encode.dtype.type(end)].astype("<u4")
+        for i, ids in enumerate(encode(b.column("text"))):
+            ids = np.r_[ids, encode.dtype.type(end)].astype("<u4")
             cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
             for k, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 rows.append(i)
@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
                 crc.append(zlib.crc32(ids[s:e]))
         return pa.record_batch([b.column("doc_id").take(pa.array(rows, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long", 512)
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long", 1024)
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:

@@ -19,10 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, ship, stage, table, texts
+from .common import new_folder, ship, stage, table
 from .library_bpe import encoder
 
-LENGTH, SEQUENCES, END = 2048, 64, 0
+LENGTH, SEQUENCES, BATCH, END = 2048, 64, 1024, 0
 
 
 class Writer:
@@ -113,13 +113,14 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end: int = END)
         encode, task = encoder(vocabulary), TaskContext.get()
         path = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.arrows"
         last, out, place = np.array([end], encode.dtype), None, 0
-        for whole, at in ((b, at) for b in batches for at in range(0, b.num_rows, 512)):
-            b = whole.slice(at, 512)
+        for whole, at in ((b, at) for b in batches for at in range(0, b.num_rows, BATCH)):
+            b = whole.slice(at, BATCH)
             out = out or Writer(path, encode.dtype)
             n = []
-            for ids in encode(texts(b.column("text"))):
-                out.add(np.r_[np.frombuffer(ids, encode.dtype), last])
-                n.append(len(ids) // encode.dtype.itemsize + 1)
+            for ids in encode(b.column("text")):
+                out.add(ids)
+                out.add(last)
+                n.append(len(ids) + 1)
             n = np.array(n, np.int64)
             places = place + np.cumsum(n) - n
             place += int(n.sum())
