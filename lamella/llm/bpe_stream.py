@@ -16,16 +16,18 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_batches, table, texts
 
 #: Words kept per worker, the longest word that is kept, and symbols up to which a plain scan beats a heap.
-WORDS, LONGEST, SCAN = 300_000, 48, 40
-SHIFT = 20
+WORDS, LONGEST, SCAN = 400_000, 48, 100
+SHIFT, NEVER = 20, 1 << 40
 
 
 def byte_letters() -> list[str]:
@@ -51,11 +53,13 @@ class Merges:
         self.inner = [vocab[c] for c in letters]
         self.final = [vocab[c + self.suffix] for c in letters]
         self.width = {i: len(t.removesuffix(self.suffix) if self.suffix else t) for t, i in vocab.items()}
-        self.pairs: dict[int, tuple[int, int]] = {}
+        self.pairs: dict[int, int] = {}  # two symbols -> rank
+        self.made: list[int] = []  # rank -> symbol
         ahead = dict.fromkeys([*self.inner, *self.final], 1)
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
             x, y, z = vocab[a], vocab[b], vocab[a + b]
-            self.pairs.setdefault(x << SHIFT | y, (rank, z))
+            self.pairs.setdefault(x << SHIFT | y, rank)
+            self.made.append(z)
             fx, fy = ahead.get(x, 1), ahead.get(y, 1)
             ahead[z] = max(ahead.get(z, 1), fy, fx - self.width[y])
             ahead[x] = max(fx, self.width[y] + fy)
@@ -67,34 +71,36 @@ class Merges:
         """Applies the merges, lowest rank first, leftmost first."""
         if len(symbols) > SCAN:
             return self.merge_long(symbols)
-        pairs = self.pairs
-        while len(symbols) > 1:
-            found = [pairs.get(a << SHIFT | b) for a, b in zip(symbols, symbols[1:], strict=False)]
-            best = min((f[0], i) for i, f in enumerate(found) if f) if any(found) else None
-            if not best:
-                break
-            i = best[1]
-            symbols[i : i + 2] = [found[i][1]]
+        rank, made = self.pairs.get, self.made
+        ranks = [rank(a << SHIFT | b, NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while ranks and (best := min(ranks)) < NEVER:
+            i = ranks.index(best)
+            symbols[i : i + 2] = [z := made[best]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(z << SHIFT | symbols[i + 1], NEVER)
+            if i:
+                ranks[i - 1] = rank(symbols[i - 1] << SHIFT | z, NEVER)
         return symbols
 
     def merge_long(self, symbols: list[int]) -> list[int]:
-        n, pairs = len(symbols), self.pairs
+        n, rank, made = len(symbols), self.pairs.get, self.made
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(f[0], i, f[1], a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if (f := pairs.get(a << SHIFT | b))]
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if (r := rank(a << SHIFT | b, NEVER)) < NEVER]
         heapq.heapify(heap)
         while heap:
-            _, i, z, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if symbols[i] != a or j < 0 or symbols[j] != b:
                 continue
-            symbols[i], symbols[j] = z, -1
+            symbols[i], symbols[j] = (z := made[r]), -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if f := pairs.get(z << SHIFT | symbols[k]):
-                    heapq.heappush(heap, (f[0], i, f[1], z, symbols[k]))
-            if (h := before[i]) >= 0 and (f := pairs.get(symbols[h] << SHIFT | z)):
-                heapq.heappush(heap, (f[0], h, f[1], symbols[h], z))
+                if (r := rank(z << SHIFT | symbols[k], NEVER)) < NEVER:
+                    heapq.heappush(heap, (r, i, z, symbols[k]))
+            if (h := before[i]) >= 0 and (r := rank(symbols[h] << SHIFT | z, NEVER)) < NEVER:
+                heapq.heappush(heap, (r, h, symbols[h], z))
         return [s for s in symbols if s >= 0]
 
     def whole(self, word: bytes) -> list[int]:
@@ -134,6 +140,11 @@ class Decoder:
         self.table, self.between, self.begun = table, between, False
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
+    def reset(self) -> Decoder:
+        self.state.reset()
+        self.begun = False
+        return self
+
     def feed(self, ids: Iterable[int]) -> str:
         data = self.between.join(map(self.table.__getitem__, ids))
         if data and self.begun:
@@ -159,11 +170,18 @@ class WordBpe:
         self.bytes = {i: t.encode() if t in self.merges.added else bytes(letters[c] for c in t.removesuffix(tail)) + b" " * (bool(tail) and t.endswith(tail)) for i, t in self.merges.names.items()}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.merges.added)) + ")")
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.decoder = Decoder(self.names, b" ")
 
     def chunk(self, text: str) -> list[int]:
         """Ids of a normalised text without spaces."""
         ids: list[int] = []
-        for word in self.SPLIT.findall(text):
+        if text.isalpha():
+            words = [text]
+        elif text[-1] in ".," and text[:-1].isalpha():
+            words = [text[:-1], text[-1]]
+        else:
+            words = self.SPLIT.findall(text)
+        for word in words:
             data = word.encode()
             if len(data) <= self.window:
                 ids += self.merges.whole(data)
@@ -175,8 +193,8 @@ class WordBpe:
     def digest_of(self, text: str) -> tuple[bytes, bytes]:
         """A chunk's ids in decimal and its decoded text, each joined by spaces; kept for short chunks."""
         ids = self.chunk(text)
-        d = Decoder(self.names, b" ")
-        out = b" ".join(b"%d" % i for i in ids), (d.feed(ids) + d.close()).encode()
+        d = self.decoder.reset()
+        out = " ".join(map(str, ids)).encode(), (d.feed(ids) + d.close()).encode()
         if len(text) <= LONGEST and len(self.known) < WORDS:
             self.known[text] = out
         return out
@@ -207,18 +225,36 @@ class WordBpe:
         d = Decoder(self.bytes)
         return d.feed(ids) + d.close()
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """Count of ids, sha256 of the ids in decimal, sha256 of the decoded text."""
-        parts: list[tuple[bytes, bytes]] = []
-        known = self.known
-        for part, added in self.segments(text):
-            if added is not None:
-                parts.append((b"%d" % added, self.names[added]))
-            else:
-                parts += [known.get(c) or self.digest_of(c) for c in part.split(" ") if c]
-        ids = b" ".join([p[0] for p in parts if p[0]])
-        out = b" ".join([p[1] for p in parts if p[0]])
-        return (ids.count(b" ") + 1 if ids else 0), hashlib.sha256(ids).hexdigest(), hashlib.sha256(out).hexdigest()
+    def parts(self, text: str) -> list[tuple[bytes, bytes]]:
+        return [p for part, added in self.segments(text) for p in ([(b"%d" % added, self.names[added])] if added is not None else map(self.digest_of, filter(None, part.split(" "))))]
+
+    def digests(self, column: pa.Array) -> tuple[np.ndarray, list[str], list[str]]:
+        """For each text of an Arrow column: count of ids, sha256 of the ids in decimal, sha256 of the decoded text.
+
+        Arrow splits a batch, makes its words distinct and puts their results together again.
+        """
+        got = texts(column)
+        marked = {i: self.parts(t) for i, t in enumerate(got) if "<|" in t}
+        split = pc.split_pattern(pa.array(["" if i in marked else self.normal(t) for i, t in enumerate(got)], pa.string()), " ")
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        done = [d or (self.digest_of(w) if w else (b"", b"")) for d, w in zip(map(self.known.get, distinct), distinct, strict=True)]
+        some = np.array([bool(d[0]) for d in done], bool)
+        many = np.array([d[0].count(b" ") + 1 if d[0] else 0 for d in done], np.int64)
+        at = coded.indices.to_numpy()
+        kept = at[some[at]] if len(at) else at
+        starts = split.offsets.to_numpy() - split.offsets[0].as_py()
+        ends = pa.array(np.r_[0, np.cumsum(some[at])][starts], pa.int32())
+        n = np.diff(np.r_[0, np.cumsum(many[at])][starts])
+        columns = []
+        for k in (0, 1):
+            values = pa.array([d[k] for d in done], pa.binary()).take(pa.array(kept))
+            columns.append(pc.binary_join(pa.ListArray.from_arrays(ends, values), b" ").to_pylist())
+        for i, p in marked.items():
+            n[i] = sum(x[0].count(b" ") + 1 for x in p if x[0])
+            for k in (0, 1):
+                columns[k][i] = b" ".join(x[k] for x in p if x[0])
+        return n, *([hashlib.sha256(x).hexdigest() for x in c] for c in columns)
 
 
 @functools.cache
@@ -251,10 +287,10 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         bpe = word_bpe(vocabulary)
-        n, ids, out = zip(*map(bpe.digests, texts(b.column("text"))), strict=True) if b.num_rows else ((), (), ())
+        n, ids, out = bpe.digests(b.column("text"))
         return pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(out, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", 512)
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", 2048)
 
 
 def op4_bpe_stream(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
