@@ -290,7 +290,7 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
         n, ids, out = bpe.digests(b.column("text"))
         return pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(out, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", 2048)
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_bpe_stream(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch on the way to Python at most: texts are long, and a batch is in memory on both sides.
+ROWS = 1000
 _SHIPPED: set[str] = set()
 _STAGED: list[tuple[SparkSession, str]] = []
 
@@ -24,7 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable by Python workers, wherever the driver started."""
+    """Makes this package importable by Python workers, wherever the driver started, and bounds what goes there at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS:
+        spark.conf.set(key, ROWS)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -87,7 +92,7 @@ def unstage(df: DataFrame) -> None:
         remove(df.sparkSession, df._staged_at)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 2048) -> DataFrame:
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = ROWS) -> DataFrame:
     """Applies f to slices of at most `rows` rows of each Arrow batch."""
     ship(df.sparkSession)
 
@@ -99,7 +104,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sc
     return df.mapInArrow(run, schema)
 
 
-def rows_where(df: DataFrame, judge: Callable[[list[str]], list[bool]], rows: int = 2048) -> DataFrame:
+def rows_where(df: DataFrame, judge: Callable[[list[str]], list[bool]], rows: int = ROWS) -> DataFrame:
     """The rows of df whose text (null: empty) the judge keeps, with all columns."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Words kept per worker, and the longest word that is kept.
-WORDS, LONGEST = 500_000, 48
+WORDS, LONGEST = 300_000, 48
 #: A space with white space on both sides isn't the start of a new piece; such texts are encoded in one go.
 INNER = re.compile(r"\s \s")
 #: Words that can be encoded in a row: no odd characters, no white space at either end.

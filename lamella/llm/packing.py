@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
                 crc.append(zlib.crc32(ids[s:e]))
         return pa.record_batch([b.column("doc_id").take(pa.array(rows, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long", 1024)
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:

@@ -363,10 +363,10 @@ def train(docs: DataFrame) -> Tagger | None:
 def find(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     """docs (doc_id, text, ...) -> all columns but text, then base and added: arrays of (start, end, kind).
 
-    A null text is empty. Positions are code points, ends exclusive.
+    A null text is empty. Positions are code points, ends exclusive. Columns of these two names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(tagger)
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c not in ("text", "base", "added")]
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         got = texts(b.column("text"))
@@ -375,7 +375,7 @@ def find(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
         as_rows = lambda spans: pa.array([[{"start": s, "end": e, "kind": KINDS[k]} for s, e, k in x] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])))
         return pa.record_batch([*(b.column(c) for c in keep), as_rows(base), as_rows(more)], names=[*keep, "base", "added"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in keep)
     spans = "array<struct<start: bigint, end: bigint, kind: string>>"
     return map_batches(docs, run, f"{fields}base {spans}, added {spans}", 512)
 

@@ -167,10 +167,10 @@ def one_of_each(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame
     """
     name = F.coalesce(F.col("doc_id"), -1 - F.shiftrightunsigned(F.xxhash64("text"), 2))
     groups = near_duplicates(docs.select(name.alias("doc_id"), "text"), words, distance)
-    kept = stage(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("keep_id")).agg(F.count("*").alias("copies")), "kept")
-    out = docs.join(kept, name == F.col("keep_id"))
-    repeated = out.where("copies > 1").dropDuplicates(["keep_id"])
-    return out.where("copies = 1").unionByName(repeated).select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = stage(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__keep_id")).agg(F.count("*").alias("__copies")), "kept")
+    out = docs.join(kept, name == F.col("__keep_id"))
+    repeated = out.where("__copies > 1").dropDuplicates(["__keep_id"])
+    return out.where("__copies = 1").unionByName(repeated).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import new_folder, ship, stage, table
 from .library_bpe import encoder
 
-LENGTH, SEQUENCES, BATCH, END = 2048, 64, 1024, 0
+LENGTH, SEQUENCES, BATCH, END = 2048, 64, 1000, 0
 
 
 class Writer:

@@ -56,6 +56,8 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def search(tree: dict[str, np.ndarray], x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Scores and ids (queries, k) of the best rows that reach each query's floor; LOWEST where there are fewer."""
     best, who = np.full((len(q), k), LOWEST), np.full((len(q), k), np.iinfo(np.int64).max)
+    if not len(q):
+        return best, who
     kth = floor.copy()
     length = np.sqrt((q**2).sum(1))
     upper = q @ tree["center"].T + length[:, None] * tree["radius"]
