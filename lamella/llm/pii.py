@@ -27,7 +27,7 @@ TAGS = 1 + 2 * len(KINDS)  # O, then begin and inside of each kind
 WINDOW, STRIDE, MARGIN = 64, 32, 24
 #: The training sample: documents, the longest that is taken, windows, steps, and the seed of both.
 SAMPLE, SAMPLE_CHARS, WINDOWS, STEPS, SEED = 1500, 20_000, 4000, 260, 5
-#: The least mean probability of a span's tags.
+#: The least mean probability of a span's tags under the CRF.
 SURE = 0.8
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -261,6 +261,15 @@ class Tagger:
                 out[i] = path
         return out
 
+    def marginals(self, e: np.ndarray) -> np.ndarray:
+        """The CRF's probability of each tag at each position of one stretch (positions, tags)."""
+        trans, a, b = self.p["T"] + self.barred, e.copy(), np.zeros_like(e)
+        for t in range(1, len(e)):
+            a[t] += soft(a[t - 1][:, None] + trans, 0)
+        for t in range(len(e) - 1, 0, -1):
+            b[t - 1] = soft(trans + (e[t] + b[t])[None, :], 1)
+        return np.exp(a + b - soft(a[-1], 0))
+
     def added(self, batch: list[str], base: list[list[Span]]) -> list[list[Span]]:
         """For each text the spans that the tagger finds beside the rules' ones."""
         where = [(i, s, e) for i, t in enumerate(batch) for s, e in stretches(t)]
@@ -269,17 +278,18 @@ class Tagger:
         for (i, s, _), e, path in zip(where, joint, self.paths(joint), strict=True):
             if not path.any():
                 continue
-            sure = np.exp(e[np.arange(len(path)), path] - soft(e, 1))
+            likely = None
             for a, b, k in runs(path):
-                if sure[a:b].mean() < SURE:
-                    continue
+                first, last = a, b
                 while a < b and batch[i][s + a].isspace():
                     a += 1
                 while a < b and batch[i][s + b - 1] in " .,;:\n\t":
                     b -= 1
                 span = (s + a, s + b, k)
                 if plausible(batch[i][s + a : s + b], k) and all(span[1] <= x[0] or span[0] >= x[1] for x in base[i]):
-                    out[i].append(span)
+                    likely = self.marginals(e) if likely is None else likely
+                    if likely[np.arange(first, last), path[first:last]].mean() >= SURE:
+                        out[i].append(span)
         return out
 
 
