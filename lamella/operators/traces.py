@@ -29,10 +29,10 @@ def token_counter(calls: DataFrame) -> DataFrame:
     return calls.groupBy(name("agent"), name("model")).agg(F.sum(tokens()).cast("bigint").alias("total_tokens"))
 
 
-def log_lines(calls: DataFrame) -> DataFrame:
-    """Two lines a call, start and end, with texts redacted."""
-    start = F.concat(F.lit("agentflow.agent.call.start prompt="), redacted(F.coalesce("prompt", F.lit(""))))
-    end = F.concat(F.lit("agentflow.agent.call.end model="), F.coalesce("model", F.lit("unknown")), F.lit(" promptTokens="), F.coalesce("prompt_tokens", F.lit(0)).cast("string"), F.lit(" completionTokens="), F.coalesce("completion_tokens", F.lit(0)).cast("string"), F.lit(" response="), redacted(F.coalesce("response", F.lit(""))))
+def log_lines(calls: DataFrame, prefix: str = "agent.call") -> DataFrame:
+    """Two lines a call, start and end, with texts redacted; prefix begins both."""
+    start = F.concat(F.lit(f"{prefix}.start prompt="), redacted(F.coalesce("prompt", F.lit(""))))
+    end = F.concat(F.lit(f"{prefix}.end model="), F.coalesce("model", F.lit("unknown")), F.lit(" promptTokens="), F.coalesce("prompt_tokens", F.lit(0)).cast("string"), F.lit(" completionTokens="), F.coalesce("completion_tokens", F.lit(0)).cast("string"), F.lit(" response="), redacted(F.coalesce("response", F.lit(""))))
     return calls.select("run_id", "node_id", F.posexplode(F.array(start, end)).alias("line_no", "line"))
 
 

@@ -283,7 +283,7 @@ def token_counter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT CAST(conv_id AS VARCHAR) AS run_id, CAST(turn AS VARCHAR) AS node_id, unnest([0, 1]) AS line_no,
-  unnest(['agentflow.agent.call.start prompt=' || text, 'agentflow.agent.call.end model=' || role || ' promptTokens=' || length(text) || ' completionTokens=0 response=sk-***']) AS line FROM conversations""")
+  unnest(['agent.call.start prompt=' || text, 'agent.call.end model=' || role || ' promptTokens=' || length(text) || ' completionTokens=0 response=sk-***']) AS line FROM conversations""")
 def log_lines(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "conversations")
     return T.log_lines(c.select(F.col("conv_id").cast("string").alias("run_id"), F.col("turn").cast("string").alias("node_id"), F.col("text").alias("prompt"), F.col("role").alias("model"), F.length("text").alias("prompt_tokens"), F.lit(None).cast("int").alias("completion_tokens"), F.lit("sk-12345").alias("response")))

@@ -47,15 +47,15 @@ class Definition:
     name: str = "workflow"
 
 
-def parse(text: str, name: str = "workflow") -> Definition:
-    """One YAML document. Unknown keys, unknown reducers and wrong shapes are errors."""
+def parse(text: str, name: str = "workflow", head: str = "workflow") -> Definition:
+    """One YAML document. Unknown keys, unknown reducers and wrong shapes are errors; head is the key of the section with the version."""
     try:
         doc = yaml.safe_load(text) or {}
     except yaml.YAMLError as e:
         raise WorkflowError(f"not YAML: {e}") from e
     if not isinstance(doc, dict):
         raise WorkflowError("the top level must be a mapping")
-    strict(doc, {"agentflow", "channels", "nodes", "edges"}, "the top level")
+    strict(doc, {head, "channels", "nodes", "edges"}, "the top level")
     nodes = []
     for n in doc.get("nodes") or []:
         strict(n, {"id", "agent", "prompt_template", "tools", "timeout", "retry", "output_schema", "mock_response"}, f"node {n.get('id')}")
@@ -69,7 +69,7 @@ def parse(text: str, name: str = "workflow") -> Definition:
             raise WorkflowError(f"channel {channel}: unknown reducer {reducer}")
         reducers[channel], types[channel] = reducer and str(reducer).upper(), c.get("type")
     edges = [(e.get("from"), e.get("to")) for e in doc.get("edges") or []]
-    version = str((doc.get("agentflow") or {}).get("version") or "").strip() or "1.0"
+    version = str((doc.get(head) or {}).get("version") or "").strip() or "1.0"
     return Definition(nodes, edges, reducers, types, version, name)
 
 

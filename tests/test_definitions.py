@@ -6,7 +6,7 @@ from lamella.sources.definitions import WorkflowError, parse, scan, tables
 
 DOUBLE = "nodes: [{id: A}, {id: B}, {id: C}, {id: D}, {id: E}, {id: F}, {id: G}]\nedges: [" + ", ".join(f"{{from: {a}, to: {b}}}" for a, b in ("AB", "AC", "BD", "CD", "DE", "DF", "EG", "FG")) + "]"
 FULL = """
-agentflow: {version: "2.1"}
+workflow: {version: "2.1"}
 channels: {risk: {type: string, reducer: max}, log: {reducer: CONCAT}}
 nodes:
   - {id: a, agent: x, prompt_template: "hi ${inputs.n}", tools: [t1, t2], timeout: 30s, retry: {max_attempts: 2, initial_backoff: 1s}, output_schema: {type: object}, mock_response: m}
