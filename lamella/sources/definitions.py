@@ -93,7 +93,7 @@ def tables(spark: SparkSession, *definitions: Definition) -> dict[str, DataFrame
     return {"nodes": spark.createDataFrame(nodes, NODES), "edges": spark.createDataFrame(edges, EDGES), "channels": spark.createDataFrame(channels, CHANNELS)}
 
 
-def scan(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def scan(spark: SparkSession, path: str, head: str = "workflow") -> dict[str, DataFrame]:
     """nodes and edges of all YAML files under a path; a file that can't be read gives a row in errors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,7 +101,7 @@ def scan(spark: SparkSession, path: str) -> dict[str, DataFrame]:
             rows = []
             for name, text in zip(b["file"], b["value"], strict=True):
                 try:
-                    d = parse(text, name)
+                    d = parse(text, name, head)
                     rows += [("node", name, d.version, i, n.id, n.agent, None, None, None) for i, n in enumerate(d.nodes)]
                     rows += [("edge", name, d.version, i, None, None, a, z, None) for i, (a, z) in enumerate(d.edges)]
                 except WorkflowError as e:
