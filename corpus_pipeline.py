@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from lamella.llm import language, packing, pii, simhash, toxicity
+from lamella.llm import language, near, packing, pii, simhash, toxicity
 from lamella.llm.common import stage, table
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +25,8 @@ def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies stays: five-word shingles with a Jaccard similarity of 0.8 or more."""
+    return simhash.one_of_each(docs, near.near_copies)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

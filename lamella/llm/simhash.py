@@ -10,7 +10,7 @@ keys are searched by one-bit neighbours instead of by pairs, which is exact and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice, repeat
 
 import numpy as np
@@ -160,15 +160,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
     return seen.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
-    """docs without near duplicates: of each component the document with the smallest doc_id, with all columns.
+def one_of_each(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """docs without near duplicates: of each component that `find` names the document with the smallest doc_id, with all columns.
 
     Rows that repeat a doc_id count as one document. Rows without doc_id go by a hash of their text.
     """
     name = F.coalesce(F.col("doc_id"), -1 - F.shiftrightunsigned(F.xxhash64("text"), 2))
-    groups = near_duplicates(docs.select(name.alias("doc_id"), "text"), words, distance)
+    groups = find(docs.select(name.alias("doc_id"), "text"))
     kept = stage(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__keep_id")).agg(F.count("*").alias("__copies")), "kept")
-    out = docs.join(kept, name == F.col("__keep_id"))
+    out = docs.join(kept.hint("merge"), name == F.col("__keep_id"))  # the documents kept grow with the input
     repeated = out.where("__copies > 1").dropDuplicates(["__keep_id"])
     return out.where("__copies = 1").unionByName(repeated).select(*(F.col(f"`{c}`") for c in docs.columns))
 

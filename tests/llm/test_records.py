@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lamella.llm import cover, packing, sharding, simhash, topk
+from lamella.llm import cover, near, packing, sharding, simhash, topk
 from lamella.llm.common import forest
 from lamella.llm.components import components
 from lamella.llm.queries import oracle_sql, queries
@@ -69,6 +69,57 @@ def test_simhash(spark, make):
     assert simhash.one_of_each(make((None, "a b c"), (None, "a b c"), (None, "x y z"))).count() == 2
 
 
+def brute_shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_copies(spark, make):
+    """Edited copies against brute force over all pairs; two words in a hundred changed is far beyond 2 bits."""
+    r = random.Random(0)
+    words = [f"w{i}" for i in range(500)]
+    texts = [None, "", "one", "ONE", "two words", "a b c d e f", "A b c d e f"]
+    for n in (12, 40, 100, 300):
+        for _ in range(4):
+            base = [r.choice(words) for _ in range(n)]
+            texts.append(" ".join(base))
+            for _ in range(10):
+                w = list(base)
+                for _ in range(r.randint(1, max(1, n // 40))):
+                    w[r.randrange(n)] = r.choice(words)
+                texts.append(" ".join(w))
+    texts += [texts[20]] * 30
+    sets = {1000 - i: brute_shingles(t) for i, t in enumerate(texts)}
+    s, far = Sets(), 0
+    for a in sets:
+        for b in sets:
+            if a < b and (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                s.join(a, b)
+                far += (simhash.simhash((texts[1000 - a] or "").encode()) ^ simhash.simhash((texts[1000 - b] or "").encode())).bit_count() > 2
+    assert far > 100
+    docs = make(*((1000 - i, t) for i, t in enumerate(texts)), extra=True)
+    assert {(x.doc_id, x.component_id) for x in near.near_copies(docs).collect()} == {(i, s.find(i)) for i in sets}
+    kept = corpus_pipeline.near_duplicates(spark, docs.unionByName(docs), "")
+    assert sorted(x.doc_id for x in kept.collect()) == sorted({s.find(i) for i in sets}) and kept.columns == docs.columns
+    assert near.near_copies(docs.where("false")).count() == 0
+
+
+def test_settle_is_exact():
+    r = np.random.default_rng(0)
+    for _ in range(40):
+        sets = [np.unique(r.choice(60, r.integers(1, 40))).astype(np.uint64) for _ in range(3)]
+        for _ in range(40):
+            x = sets[r.integers(len(sets))]
+            sets.append(np.unique(np.r_[x[r.random(len(x)) < 0.93], r.choice(60, r.integers(0, 3)).astype(np.uint64)])[:50])
+        sets = [np.array(x, np.uint64) for x in {tuple(x.tolist()) for x in sets} if len(x)]
+        s = Sets()
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if len(np.intersect1d(a, b)) * 5 >= 4 * len(np.union1d(a, b)):
+                    s.join(i, j)
+        assert near.settle(sets).tolist() == [s.find(i) for i in range(len(sets))]
+
+
 @pytest.mark.parametrize("pairs", [0, 5, 48])
 def test_links_are_exact(spark, monkeypatch, pairs):
     monkeypatch.setattr(simhash, "PAIRS_UP_TO", pairs)
