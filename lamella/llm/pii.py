@@ -34,6 +34,7 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+COUNTRY = re.compile(r"^\+[0-9]{1,3}(?:[ .-]+|(?=\())")
 TRIGGER = re.compile(r"[0-9@]|\((?:at|dot)\)")
 Span = tuple[int, int, int]  # start, end, kind
 
@@ -331,7 +332,8 @@ def loosened(text: str, spans: list[Span], r: np.random.Generator) -> tuple[str,
             elif k == 2:
                 v = re.sub(r"([0-9]{4})(?=[0-9])", lambda m, by=r.choice([" ", "-", "."]): m[1] + by, v.replace(" ", "").replace("-", ""))
             elif k == 3:
-                v = re.sub(r"^\+[0-9]+[ .-]*", "", v)
+                short = COUNTRY.sub("", v)
+                v = short if len(digits(short)) >= 9 else v
         out += [text[at:s], v]
         size += s - at
         new.append((size, size + len(v), k))
@@ -352,6 +354,8 @@ def train(docs: DataFrame) -> Tagger | None:
         text, spans = loosened(text, base_spans(text), r)
         y = np.zeros(len(text), np.int64)
         for s, e, k in spans:
+            if s == e:
+                continue
             y[s:e] = 2 * k + 2
             y[s] = 2 * k + 1
         x = coded(text)

@@ -162,6 +162,18 @@ def test_pii_without_examples(spark, make):
     assert pii.report(docs.where("false"), None).count() == 0
 
 
+def test_loosened_phones(spark, make):
+    """Numbers without separators keep their digits; a country code goes only where a number is left."""
+    for phone, short in (("+14155550123", "+14155550123"), ("+1 (743) 555-3824", "(743) 555-3824"), ("+44(20)79460958", "(20)79460958"), ("+49 30 123456", "+49 30 123456"), ("+1415-555-0123", "+1415-555-0123")):
+        seen = set()
+        for seed in range(20):
+            text, spans = pii.loosened("call " + phone, [(5, 5 + len(phone), 3)], np.random.default_rng(seed))
+            assert [(s, e) for s, e, _ in spans] == [(5, len(text))]
+            seen.add(text[5:])
+        assert seen == {phone, short}
+    assert pii.train(make(*((i, f"please call {i % 7} +1415555{1000 + i}") for i in range(60)))) is not None
+
+
 def test_crf_gradients():
     t, r = pii.Tagger.new(3, 4), np.random.default_rng(1)
     ids, tags = r.integers(0, 128, (3, 6)), np.array([[0, 1, 2, 0, 3, 4], [0, 0, 5, 6, 6, 0], [7, 8, 0, 0, 0, 1]])
