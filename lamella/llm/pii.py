@@ -3,8 +3,8 @@
 The rules find e-mail addresses, IPv4 addresses, payment cards and phone numbers. The tagger is a bidirectional LSTM
 over characters with a CRF on top, trained in numpy on the driver from labelled spans: those of the rules in a bounded
 sample, a part of them rewritten into looser forms (an address spelled with (at) and (dot), a number without its plus).
-A span of any kind holds a digit or an at sign, so only stretches around those are tagged; that is a constraint of
-the decoding and loses no span. A stretch is read in overlapping windows, each position takes the scores of the
+A span of any kind holds a digit or an at sign, so only stretches around those are tagged: the whole run of address or
+number characters that they are in, and a margin. That is a constraint of the decoding and loses no span. A stretch is read in overlapping windows, each position takes the scores of the
 windows it is in, weighted towards their middles, and one Viterbi path is found for the whole stretch. What the tagger
 adds must pass a plain check of its kind and never touches a rule's span.
 """
@@ -36,6 +36,11 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 COUNTRY = re.compile(r"^\+[0-9]{1,3}(?:[ .-]+|(?=\())")
 TRIGGER = re.compile(r"[0-9@]|\((?:at|dot)\)")
+#: From a trigger to the end of its address or number, with the words or labels that one space sets apart.
+RUN = re.compile(r"(?:[A-Za-z0-9._%+@()/-]++|(?<=[0-9._()/-]) ++(?=[0-9.()]))++(?: [A-Za-z0-9-]++)?+(?: ?(?:\.|\(dot\)) ?[A-Za-z0-9-]++)*+")
+BEFORE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+@()/-")
+LOCAL = BEFORE - frozenset("@()/")
+LABELS = re.compile(r"(?:[A-Za-z0-9-]|\.(?=[A-Za-z0-9-]))*+")
 Span = tuple[int, int, int]  # start, end, kind
 
 
@@ -87,11 +92,24 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
 
+def back(text: str, at: int, least: int, among: frozenset[str]) -> int:
+    while at > least and text[at - 1] in among:
+        at -= 1
+    return at
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Where triggers are, with a margin; stretches that meet are one."""
+    """The runs of address or number characters that triggers are in, with a margin; stretches that meet are one."""
     out: list[list[int]] = []
+    end = 0
     for m in TRIGGER.finditer(text):
-        s, e = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+        if m.start() < end:
+            continue
+        s = back(text, m.start(), end, BEFORE)
+        if s - 1 > end and text[s - 1] == " ":
+            s = back(text, s - 1, end, BEFORE)
+        end = RUN.match(text, m.start()).end()
+        s, e = max(0, s - MARGIN), min(len(text), end + MARGIN)
         if out and s <= out[-1][1]:
             out[-1][1] = e
         else:
@@ -286,8 +304,8 @@ class Tagger:
                     a += 1
                 while a < b and batch[i][s + b - 1] in " .,;:\n\t":
                     b -= 1
-                span = (s + a, s + b, k)
-                if plausible(batch[i][s + a : s + b], k) and all(span[1] <= x[0] or span[0] >= x[1] for x in base[i]):
+                span = whole(batch[i], (s + a, s + b, k))
+                if span and plausible(batch[i][span[0] : span[1]], k) and all(span[1] <= x[0] or span[0] >= x[1] for x in base[i]):
                     likely = self.marginals(e) if likely is None else likely
                     if likely[np.arange(first, last), path[first:last]].mean() >= SURE:
                         out[i].append(span)
@@ -308,6 +326,15 @@ def runs(path: np.ndarray) -> list[Span]:
     return out
 
 
+def whole(text: str, span: Span) -> Span | None:
+    """The span, an address widened to the ends of its local part and domain; None for a piece of a longer number."""
+    s, e, k = span
+    if k == 0:
+        return back(text, s, 0, LOCAL), LABELS.match(text, e).end(), k
+    cut = (s and text[s - 1].isalnum() and text[s].isalnum()) or (e < len(text) and text[e].isalnum() and text[e - 1].isalnum())
+    return None if cut else span
+
+
 def plausible(s: str, kind: int) -> bool:
     if kind == 0:
         return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)) ?[A-Za-z0-9-]+)+", s))

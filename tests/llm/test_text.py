@@ -174,6 +174,36 @@ def test_loosened_phones(spark, make):
     assert pii.train(make(*((i, f"please call {i % 7} +1415555{1000 + i}") for i in range(60)))) is not None
 
 
+LONG = ["christopher.montgomery-whitfield(at)example(dot)com", "name(at)averyverylongdomainnamethatgoeson.com", "name @ averyveryveryverylongdomainname.com", "christopher.montgomery-whitfield (at) example (dot) com", "name @ averyveryveryverylongdomainname . averyveryveryverylonglabel", "4242" + " " * 60 + "4242 4242 4242"]
+
+
+def test_stretches_hold_whole_runs():
+    for v in LONG:
+        text = "so " + "write " * 20 + v + " soon" * 20
+        at = text.index(v)
+        assert any(s <= at and e >= at + len(v) for s, e in pii.stretches(text)), v
+    for text in ("1 " * 200_000, "a" * 300_000 + "@" * 300_000, "1 . " * 100_000, "(at) " * 100_000, "x (dot) " * 100_000):
+        got = pii.stretches(text)
+        assert all(a[1] < b[0] for a, b in zip(got, got[1:], strict=False)) and got[-1][1] <= len(text)
+
+
+def test_long_addresses_are_masked_whole():
+    """A tagger that sees only an address's middle: the span goes to the address's ends, and pieces of numbers go."""
+
+    class Middle(pii.Tagger):
+        def added(self, batch, base):
+            self.paths = lambda scores: [self.middle(len(x)) for x in scores]
+            self.marginals = lambda e: np.ones((len(e), pii.TAGS))
+            return super().added(batch, base)
+
+    text = "mail christopher.montgomery-whitfield(at)example(dot)com today"
+    tagger = Middle.new()
+    at = text.index("whitfield") - pii.stretches(text)[0][0]
+    tagger.middle = lambda n: np.array([1 if t == at else 2 if at < t < at + 26 else 0 for t in range(n)])
+    assert [text[s:e] for s, e, _ in tagger.added([text], [[]])[0]] == ["christopher.montgomery-whitfield(at)example(dot)com"]
+    assert pii.whole("x 301 555 77771", (2, 14, 3)) is None
+
+
 def test_crf_gradients():
     t, r = pii.Tagger.new(3, 4), np.random.default_rng(1)
     ids, tags = r.integers(0, 128, (3, 6)), np.array([[0, 1, 2, 0, 3, 4], [0, 0, 5, 6, 6, 0], [7, 8, 0, 0, 0, 1]])
