@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,8 @@ from .common import map_batches, table, texts
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then begin and inside of each kind
 WINDOW, STRIDE, MARGIN = 64, 32, 24
+#: Positions, padding included, that are decoded at once; from so many on a stretch is decoded by itself, in blocks of so many.
+CELLS, BLOCK = 1 << 18, 1 << 14
 #: The training sample: documents, the longest that is taken, windows, steps, and the seed of both.
 SAMPLE, SAMPLE_CHARS, WINDOWS, STEPS, SEED = 1500, 20_000, 4000, 260, 5
 #: The least mean probability of a span's tags under the CRF.
@@ -256,8 +259,12 @@ class Tagger:
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(scores)
         trans = self.p["T"] + self.barred
         order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
-        for at in range(0, len(order), 256):
-            group = order[at : at + 256]
+        groups: list[list[int]] = []
+        for i in order:
+            if not groups or len(groups[-1]) == 256 or (len(groups[-1]) + 1) * len(scores[i]) > CELLS:
+                groups.append([])
+            groups[-1].append(i)
+        for group in groups:
             long = len(scores[group[-1]])
             e = np.zeros((len(group), long, TAGS))
             for row, i in enumerate(group):
@@ -280,6 +287,55 @@ class Tagger:
                 out[i] = path
         return out
 
+    def block(self, codes: np.ndarray, at: int) -> np.ndarray:
+        """Emission scores of a stretch's block that begins at `at`, as joint() has them for the whole stretch."""
+        start, end = max(0, at - STRIDE), min(len(codes), at + BLOCK + STRIDE)
+        return self.joint([codes[start:end]])[0][at - start : at - start + BLOCK]
+
+    def long_path(self, codes: np.ndarray) -> np.ndarray:
+        """The best tags of a stretch of any length, block by block with carried scores: 17 bytes a position."""
+        trans, n = self.p["T"] + self.barred, len(codes)
+        via, path = np.zeros((n, TAGS), np.int8), np.empty(n, np.int64)
+        best = np.where(np.arange(TAGS) % 2 + (np.arange(TAGS) == 0) > 0, 0, -1e4)
+        for at in range(0, n, BLOCK):
+            for t, e in enumerate(self.block(codes, at), at):
+                if not t:
+                    best = e + best
+                    continue
+                every = best[:, None] + trans
+                via[t] = every.argmax(0)
+                best = e + every.max(0)
+        k = int(best.argmax())
+        for t in range(n - 1, -1, -1):
+            path[t] = k
+            k = via[t, k]
+        return path
+
+    def long_marginals(self, codes: np.ndarray, path: np.ndarray) -> np.ndarray:
+        """The CRF's probability of a stretch's tags at each position, block by block with carried scores."""
+        trans, n = self.p["T"] + self.barred, len(codes)
+
+        def forward(at: int, a: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+            e = self.block(codes, at)
+            out = e.copy()
+            for t in range(len(e)):
+                if a is not None:
+                    out[t] += soft(a[:, None] + trans, 0)
+                a = out[t]
+            return e, out
+
+        carried: list[np.ndarray | None] = [None]
+        for at in range(0, n, BLOCK):
+            carried.append(forward(at, carried[-1])[1][-1])
+        z, b, out = soft(carried[-1], 0), np.zeros(TAGS), np.empty(n)
+        for k in range(len(carried) - 2, -1, -1):
+            e, a = forward(k * BLOCK, carried[k])
+            for t in range(len(e) - 1, -1, -1):
+                tag = path[k * BLOCK + t]
+                out[k * BLOCK + t] = np.exp(a[t, tag] + b[tag] - z)
+                b = soft(trans + (e[t] + b)[None, :], 1)
+        return out
+
     def marginals(self, e: np.ndarray) -> np.ndarray:
         """The CRF's probability of each tag at each position of one stretch (positions, tags)."""
         trans, a, b = self.p["T"] + self.barred, e.copy(), np.zeros_like(e)
@@ -292,23 +348,39 @@ class Tagger:
     def added(self, batch: list[str], base: list[list[Span]]) -> list[list[Span]]:
         """For each text the spans that the tagger finds beside the rules' ones."""
         where = [(i, s, e) for i, t in enumerate(batch) for s, e in stretches(t)]
-        joint = self.joint([coded(batch[i][s:e]) for i, s, e in where])
         out: list[list[Span]] = [[] for _ in batch]
-        for (i, s, _), e, path in zip(where, joint, self.paths(joint), strict=True):
-            if not path.any():
-                continue
-            likely = None
-            for a, b, k in runs(path):
+
+        def take(i: int, s: int, path: np.ndarray, likely: Callable[[], np.ndarray]) -> None:
+            sure = None
+            for a, b, k in runs(path) if path.any() else []:
                 first, last = a, b
                 while a < b and batch[i][s + a].isspace():
                     a += 1
                 while a < b and batch[i][s + b - 1] in " .,;:\n\t":
                     b -= 1
                 span = whole(batch[i], (s + a, s + b, k))
-                if span and plausible(batch[i][span[0] : span[1]], k) and all(span[1] <= x[0] or span[0] >= x[1] for x in base[i]):
-                    likely = self.marginals(e) if likely is None else likely
-                    if likely[np.arange(first, last), path[first:last]].mean() >= SURE:
+                if span and plausible(batch[i][span[0] : span[1]], k) and all(span[1] <= x[0] or span[0] >= x[1] for x in [*base[i], *out[i][-1:]]):
+                    sure = likely() if sure is None else sure
+                    if sure[first:last].mean() >= SURE:
                         out[i].append(span)
+
+        some: list[tuple[int, int, int]] = []
+        held = 0
+        for i, s, e in [*where, (-1, 0, 0)]:
+            if i < 0 or held + e - s > CELLS:
+                joint = self.joint([coded(batch[j][a:b]) for j, a, b in some])
+                for (j, a, _), scores, path in zip(some, joint, self.paths(joint), strict=True):
+                    take(j, a, path, lambda scores=scores, path=path: self.marginals(scores)[np.arange(len(path)), path])
+                some, held = [], 0
+            if e - s >= BLOCK:
+                codes = coded(batch[i][s:e])
+                path = self.long_path(codes)
+                take(i, s, path, lambda codes=codes, path=path: self.long_marginals(codes, path))
+            elif i >= 0:
+                some.append((i, s, e))
+                held += e - s
+        for x in out:
+            x.sort()
         return out
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -204,6 +205,34 @@ def test_long_addresses_are_masked_whole():
     assert pii.whole("x 301 555 77771", (2, 14, 3)) is None
 
 
+def test_blocks_are_exact(monkeypatch):
+    r = np.random.default_rng(3)
+    tagger = pii.Tagger.new()
+    for n in (1, 63, 128, 129, 160, 191, 192, 700):
+        codes = r.integers(3, 128, n)
+        e = tagger.joint([codes])[0]
+        monkeypatch.setattr(pii, "BLOCK", 64)
+        assert np.allclose(np.concatenate([tagger.block(codes, at) for at in range(0, n, 64)]), e)
+        path = tagger.long_path(codes)
+        assert (path == tagger.paths([e])[0]).all()
+        assert np.allclose(tagger.long_marginals(codes, path), tagger.marginals(e)[np.arange(n), path])
+
+
+def test_long_stretches_are_bounded():
+    """A text of many digits beside short ones takes little memory; two million took 150 s and under 500 MB."""
+    tagger = pii.Tagger.new()
+    few = [f"call {i} now" for i in range(255)]
+    few_e = [np.zeros((40, pii.TAGS)) for _ in range(255)]
+    tracemalloc.start()
+    tagger.paths([*few_e, np.zeros((50_000, pii.TAGS))])
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.reset_peak()
+    text = "7" * 200_000
+    assert len(tagger.added([*few, text], [[] for _ in range(256)])) == 256
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+
+
 def test_crf_gradients():
     t, r = pii.Tagger.new(3, 4), np.random.default_rng(1)
     ids, tags = r.integers(0, 128, (3, 6)), np.array([[0, 1, 2, 0, 3, 4], [0, 0, 5, 6, 6, 0], [7, 8, 0, 0, 0, 1]])
