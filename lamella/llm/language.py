@@ -16,14 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, rows_where, ship, table, texts
 
 DIM, SCALE, BLOCK = 1 << 15, 30.0, 1 << 16
-#: The training sample: rows per language and in all, and the longest text that is taken into it.
-PER_LANGUAGE, SAMPLE, SAMPLE_CHARS, LANGUAGES = 700, 6000, 20_000, 200
+#: The training sample: rows per language, rows in all to which these are cut down, but not below the floor, and the longest text that is taken.
+PER_LANGUAGE, SAMPLE, FLOOR, SAMPLE_CHARS = 700, 6000, 60, 20_000
 UNKNOWN = "und"
 
 
@@ -142,17 +142,23 @@ def calibrated(scores: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(labelled: DataFrame) -> Model:
-    """labelled (doc_id, text, lang): document frequencies from all rows, weights from a bounded sample."""
+    """labelled (doc_id, text, lang): document frequencies from all rows, weights from a bounded sample.
+
+    Every language has its share of the sample, so it has about max(SAMPLE, languages x FLOOR) rows, twice that at most.
+    """
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    short = rows.where(F.length("text") <= SAMPLE_CHARS)
+    sizes = {r[0]: r[1] for r in short.groupBy("lang").count().collect()}
     df, total = document_frequency(rows)
     idf = np.log((1 + total) / (1 + df)) + 1
-    draw = F.lit(False)
-    for lang, n in sizes.items():
-        draw |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, PER_LANGUAGE / n)))
-    sample = rows.where(draw & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text", "lang").limit(SAMPLE).toPandas() if sizes else None
-    if sample is None or sample.empty:
+    if not sizes:
         return Model([], np.zeros((DIM, 0), np.float32), np.zeros(0), 1.0)
+    each = min(PER_LANGUAGE, max(FLOOR, SAMPLE // len(sizes)))
+    part = labelled.sparkSession.createDataFrame([(lang, 1_000_000 * each / n) for lang, n in sizes.items()], "lang string, part double")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "text"))  # a doc_id may repeat without end
+    drawn = short.join(F.broadcast(part), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("part"))
+    sample = drawn.withColumn("place", place).where(F.col("place") <= 2 * each).select("doc_id", "text", "lang").toPandas()
+    sample = sample if len(sample) else short.orderBy("doc_id", "text").limit(FLOOR).select("doc_id", "text", "lang").toPandas()
     sample = sample.sort_values(["doc_id", "text"], kind="stable")
     languages = sorted(sample["lang"].unique())
     y = sample["lang"].map({v: i for i, v in enumerate(languages)}).to_numpy()
@@ -176,10 +182,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The documents, with all columns, whose language is known with a score of at least `least`."""
+    """The documents, with all columns, whose language is known with a score of at least `least`.
+
+    Where no language was learned, as no row has a label, all documents with a letter stay.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batch: list[str]) -> list[bool]:
+        if not sent.value.languages:
+            return [any(some for _, some in ngrams(t)) for t in batch]
         return [lang != UNKNOWN and score >= least for lang, score in map(sent.value.predict, batch)]
 
     return rows_where(docs, judge)

@@ -269,6 +269,19 @@ def test_language(spark, make):
     assert language.train(docs.where("false")).predict("the house") == ("und", 0.0)
 
 
+def test_every_language_is_learned(spark, make, monkeypatch):
+    """Twelve languages one after the other and a sample of less than they have: none is left out."""
+    monkeypatch.setattr(language, "SAMPLE", 120)
+    monkeypatch.setattr(language, "FLOOR", 20)
+    rows = [(i, " ".join(chr(97 + 2 * (i // 60)) * 3 + chr(97 + (i + j) % 24) for j in range(8)), f"l{i // 60:02}") for i in range(720)]
+    docs = make(*rows)
+    model = language.train(docs)
+    assert model.languages == [f"l{k:02}" for k in range(12)]
+    none = make((1, "the house", None), (2, "123", None), (3, None, None))
+    learned = language.train(none)
+    assert learned.languages == [] and [r.doc_id for r in language.identified(none, learned).collect()] == [1]
+
+
 def test_language_blocks(monkeypatch):
     text = "Größe und schöne Häuser, 12 mal. " * 50
     one = np.concatenate([h for h, _ in language.ngrams(text)])
