@@ -44,7 +44,7 @@ def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 def sharded(vectors: DataFrame, per: int = SHARD) -> DataFrame:
     """Adds `shard` (0 to shards - 1 of each dim) and `shards`: even, whatever the vectors are."""
     sizes = vectors.groupBy("dim").count().select("dim", F.ceil(F.col("count") / per).cast("int").alias("shards"))
-    return vectors.join(F.broadcast(sizes.limit(4096)), "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id", "vec"), F.col("shards")).cast("int"))
+    return vectors.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id", "vec"), F.col("shards")).cast("int"))
 
 
 def dump(**arrays: np.ndarray) -> bytes:

@@ -17,6 +17,7 @@ from lamella.llm import cover, near, packing, sharding, simhash, topk
 from lamella.llm.common import forest
 from lamella.llm.components import components
 from lamella.llm.queries import oracle_sql, queries
+from lamella.llm.vectors import sharded
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -217,6 +218,12 @@ def test_cover_tree(spark, monkeypatch, shard):
     assert cover.near_vectors(df.where("false")).count() == 0
 
 
+def test_every_length_has_shards(spark):
+    """More than 4096 lengths of vectors: all keep their rows."""
+    rows = spark.range(5000).selectExpr("id AS vec_id", "CAST(id AS int) AS dim", "CAST('x' AS binary) AS vec")
+    assert sharded(rows).count() == 5000
+
+
 def test_cover_tree_levels():
     x = np.random.default_rng(0).normal(size=(500, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
