@@ -194,6 +194,15 @@ def in_degrees(spark: SparkSession, d: str) -> DataFrame:
     return G.in_degree(nodes, edges).where(F.startswith("node_id", F.lit("s")))
 
 
+@query("""SELECT 'supply' AS workflow, 'p' || p_partkey AS node_id, CAST(0 AS BIGINT) AS in_degree FROM part
+  UNION ALL SELECT 'supply', 's' || s_suppkey, CAST(count(l_suppkey) AS BIGINT) FROM supplier LEFT JOIN lineitem ON s_suppkey=l_suppkey GROUP BY s_suppkey""")
+def in_degrees_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every part and every supplier is a node."""
+    p, s = read(spark, d, "part"), read(spark, d, "supplier")
+    ids = p.select(F.concat(F.lit("p"), "p_partkey").alias("node_id")).unionByName(s.select(F.concat(F.lit("s"), "s_suppkey").alias("node_id")))
+    return G.in_degree(ids.select(F.lit("supply").alias("workflow"), "node_id"), supply_graph(spark, d)[2])
+
+
 @query("SELECT conv_id, turn, 'role=' || coalesce(role, '') || ', text=' || coalesce(text, '') || ', k=' || CASE WHEN turn > 2 THEN 'late' ELSE 'early' END AS prompt FROM conversations")
 def template_resolve(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "conversations").withColumns({"context": F.create_map(F.lit("role"), F.col("role"), F.lit("turn"), F.col("turn").cast("string")), "inputs": F.create_map(F.lit("text"), F.col("text"))})
@@ -300,6 +309,18 @@ def step_durations(spark: SparkSession, d: str) -> DataFrame:
     return T.step_percentiles(read(spark, d, "events").select(F.col("event_type").alias("node_id"), F.col("value").alias("duration_ms"))).select("node_id", "n")
 
 
+@query("""SELECT event_type AS node_id, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1""")
+def step_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """The exact percentiles."""
+    found = T.step_percentiles(read(spark, d, "events").select(F.col("event_type").alias("node_id"), F.col("value").alias("duration_ms")), exact=True)
+    return found.select("node_id", *(F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")), "n")
+
+
+@query("SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '***', 'g') AS text FROM documents")
+def redacted_text(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", S.redacted(F.col("text"), "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "***").alias("text"))
+
+
 @query("""WITH b AS (SELECT user_id, max(event_id % 4) + 1 AS nxt FROM events WHERE event_type='purchase' AND event_id % 4 < 2 GROUP BY 1)
   SELECT DISTINCT CAST(e.user_id AS VARCHAR) AS run_id, CAST(e.event_id % 4 AS INTEGER) AS super_step, e.event_type AS node_id FROM events e LEFT JOIN b USING (user_id)
   WHERE e.event_id % 4 = coalesce(b.nxt, 0) AND NOT EXISTS (SELECT 1 FROM events o WHERE o.user_id=e.user_id AND o.event_id % 4 = e.event_id % 4 AND o.event_type=e.event_type AND o.value > 50)""")
