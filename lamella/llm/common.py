@@ -43,10 +43,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; one of our own only where none is configured."""
+    """The folder that the driver and all executors see; one of our own only where none is configured and all run on this machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="lamella-shared-")
         spark.sparkContext.setCheckpointDir(found)

@@ -1,9 +1,11 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates are found by min-hashes: two sets of similarity s agree in all rows of a band with probability s**ROWS, so
-they meet in one of the bands with 1 - (1 - s**ROWS)**BANDS, which is 0.99998 at s = 0.8 and more above. Sets that
-meet, directly or over others, form a cluster; a cluster's sets come together once, and there all pairs of similarity
-0.8 or more are settled exactly by a prefix filter over the whole sets.
+Candidates are the SimHash links of the pigeonring filter over the sets' fingerprints, and beside them the sets that
+meet in min-hashes: at a similarity of 0.8 fingerprints differ in some ten of 64 bits, for which no pigeonring key is
+selective. Two sets of similarity s agree in all rows of a band with probability s**ROWS, so they meet in one of the
+bands with 1 - (1 - s**ROWS)**BANDS, which is 0.99998 at s = 0.8 and more above. Sets that are linked, directly or over
+others, form a cluster; a cluster's sets come together once, and there all pairs of similarity 0.8 or more are settled
+exactly by a prefix filter over the whole sets.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, ship, stage, utf8
+from .common import again, map_batches, ship, stage, utf8
 from .components import components
+from .simhash import bit_counts, fingerprint_links, majority
 
 WORDS, BANDS, ROWS, SEED = 5, 28, 5, 42
 #: The least similarity, as a fraction.
@@ -42,6 +45,12 @@ def name(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """The SimHash of a set of shingles; zero without shingles."""
+    ones = sum((bit_counts(s[at : at + BLOCK]) for at in range(0, len(s), BLOCK)), np.zeros(64, np.int64))
+    return majority(ones, len(s)) if len(s) else 0
+
+
 def bands(s: np.ndarray) -> np.ndarray:
     """A key for each band of a set's min-hashes."""
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
@@ -126,30 +135,50 @@ def settled(members: DataFrame) -> DataFrame:
                 if cluster != at:
                     yield out()
                     at, held = cluster, {}
-                s = shingles(text)
-                if name(s) == set_id:  # a doc_id may come again with another text
-                    held[set_id] = s
+                held[set_id] = shingles(text)
         yield out()
 
     return members.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(run, "set_id long, root long")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, component_id): the smallest doc_id that is reached over near copies, itself included.
+def print_links(first: DataFrame) -> DataFrame:
+    """(set_id, fp) -> edges (a, b) between the sets of equal fingerprints and of those that the pigeonring filter links."""
+    named = stage(first.groupBy("fp").agg(F.min("set_id").alias("a")), "named-prints")
+    same = first.join(named, "fp").where("set_id <> a").select("a", F.col("set_id").alias("b"))
+    links = fingerprint_links(named.select("fp")).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    ends = links.join(named.select(F.col("fp").alias("x"), "a"), "x").join(again(named).select(F.col("fp").alias("y"), F.col("a").alias("b")), "y")
+    return same.unionByName(ends.select("a", "b"))
 
-    Every input row gives a row. Documents without words are copies of each other.
+
+def near_roots(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, mark, text) -> (doc_id, mark, root): root names a document's group of near copies.
+
+    mark tells the texts of one doc_id apart. Every input row gives a row; documents without words are copies of each other.
     """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t) for t in utf8(b.column("text"))]
-        return pa.record_batch([b.column("doc_id"), pa.array([name(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "set_id", "keys"])
-
-    seen = stage(map_batches(docs.select("doc_id", "text"), run, "doc_id long, set_id long, keys array<bigint>"), "shingled")
-    first = stage(seen.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "sets")
-    clusters = components(meetings(first)).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
-    members = stage(clusters.join(first.select("set_id", "first"), "set_id"), "members")
-    told = docs.select(F.col("doc_id").alias("first"), "text").join(members, "first").select("cluster", "set_id", "text")
+        columns = [pa.array([f(s) for s in sets], t) for f, t in ((name, pa.int64()), (fingerprint, pa.int64()), (bands, pa.list_(pa.int64())))]
+        return pa.record_batch([b.column("doc_id"), b.column("mark"), *columns], names=["doc_id", "mark", "set_id", "fp", "keys"])
+
+    docs = docs.select("doc_id", "mark", "text")
+    seen = stage(map_batches(docs, run, "doc_id long, mark long, set_id long, fp long, keys array<bigint>"), "shingled")
+    one = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "mark"))
+    first = stage(seen.groupBy("set_id").agg(one.alias("one"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "sets")
+    clusters = components(meetings(first).unionByName(print_links(first))).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
+    members = stage(clusters.join(first.select("set_id", "one.*"), "set_id"), "members")
+    texts = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1))).dropDuplicates(["doc_id", "mark"])
+    told = texts.join(members.hint("merge"), ["doc_id", "mark"]).select("cluster", "set_id", "text")  # one plan at every size
     root = stage(settled(told), "settled")
-    rooted = first.select("set_id", "first").join(root, "set_id", "left").select("set_id", "first", F.coalesce("root", "set_id").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return seen.select("doc_id", "set_id").join(rooted.join(lowest, "root").select("set_id", "component_id"), "set_id").select("doc_id", "component_id")
+    rooted = first.select("set_id").join(root, "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("root"))
+    return seen.select("doc_id", "mark", "set_id").join(rooted, "set_id").select("doc_id", "mark", "root")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, component_id): the smallest doc_id that is reached over near copies, itself included.
+
+    Every input row gives a row; a null doc_id stays null and names no component. Documents without words are copies of each other.
+    """
+    groups = stage(near_roots(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")), "near-roots")
+    lowest = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return groups.join(lowest, "root").select("doc_id", "component_id")

@@ -36,9 +36,18 @@ def simhash(text: bytes, words: int = 3, seed: int = 42) -> int:
     grams = iter([b" ".join(w)]) if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words))))
     ones, n = np.zeros(64, np.int64), 0
     while block := list(islice(map(xxhash.xxh64_intdigest, grams, repeat(seed)), BLOCK)):
-        bits = np.unpackbits(np.array(block, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(0, dtype=np.int64)
+        ones += bit_counts(np.array(block, "<u8"))
         n += len(block)
+    return majority(ones, n)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The fingerprint of n hashes: a bit is one where over half of them have it."""
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
@@ -123,54 +132,71 @@ def fingerprint_links(prints: DataFrame, distance: int = 2) -> DataFrame:
     ship(prints.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.empty(0, np.int64), np.empty(0, np.int64)
+        keys, fps = [], []  # the parts of what goes on in the next batch: one key
 
-        def out(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            a, b = link(k, f, distance)
+        def out() -> pa.RecordBatch:
+            a, b = link(np.concatenate(keys), np.concatenate(fps), distance)
             return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             k, f = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp"))
-            keys, fps = np.r_[keys, k], np.r_[fps, f]
-            whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
-            if whole:
-                yield out(keys[:whole], fps[:whole])
-                keys, fps = keys[whole:], fps[whole:]
-        if len(keys):
-            yield out(keys, fps)
+            last = int(np.searchsorted(k, k[-1]))
+            if last or (keys and keys[-1][-1] != k[0]):
+                keys.append(k[:last])
+                fps.append(f[:last])
+                yield out()
+                keys, fps = [], []
+            keys.append(k[last:])
+            fps.append(f[last:])
+        if keys:
+            yield out()
 
     return keyed(prints).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def grouped(docs: DataFrame, words: int = 3, distance: int = 2, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, text, *carry) -> its rows with their fingerprint, and (fingerprint, root, first): a root for each
+    component, and the smallest doc_id of each fingerprint. Exact copies meet in one fingerprint, so a group of copies
+    costs one row from there on."""
+    seen = stage(fingerprints(docs.select("doc_id", *carry, "text"), words), "prints")
+    first = stage(seen.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first")), "distinct")
+    comp = stage(components(fingerprint_links(first.select("fp"), distance)), "components")
+    rooted = first.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
+    return seen, rooted.select(F.col("fp").alias("fingerprint"), F.coalesce("component", "fp").alias("root"), "first")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, fingerprint long, component_id).
 
-    Exact copies meet in one fingerprint, so a group of copies costs one row from there on. component_id is the
-    smallest doc_id reachable, itself included. Documents without words have fingerprint zero and link like others.
-    Every input row gives a row: repeated rows repeat, a null doc_id stays null and names no component.
+    component_id is the smallest doc_id reachable, itself included. Documents without words have fingerprint zero and
+    link like others. Every input row gives a row: repeated rows repeat, a null doc_id stays null and names no component.
     """
-    seen = stage(fingerprints(docs.select("doc_id", "text"), words), "prints")
-    first = stage(seen.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first")), "distinct")
-    comp = stage(components(fingerprint_links(first.select("fp"), distance)), "components")
-    rooted = first.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    seen, rooted = grouped(docs, words, distance)
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(lowest, "root").select(F.col("fp").alias("fingerprint"), "component_id")
+    named = rooted.join(lowest, "root").select("fingerprint", "component_id")
     return seen.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def one_of_each(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """docs without near duplicates: of each component that `find` names the document with the smallest doc_id, with all columns.
+def print_roots(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, mark, text) -> (doc_id, mark, root): the groups that one_of_each takes by default."""
+    seen, rooted = grouped(docs, carry=("mark",))
+    return seen.join(rooted, "fingerprint").select("doc_id", "mark", "root")
+
+
+def one_of_each(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = print_roots) -> DataFrame:
+    """docs without near duplicates: of each group that `find` gives a root the document with the smallest doc_id, with all columns.
 
-    Rows that repeat a doc_id count as one document. Rows without doc_id go by a hash of their text.
+    A document is a doc_id and a text: rows that repeat both are one document, of which any row stays; a doc_id with
+    two texts is two documents. Rows without doc_id come last. `find` takes (doc_id, mark, text) and returns (doc_id,
+    mark, root). Texts are shuffled once, by the same plan at every size.
     """
-    name = F.coalesce(F.col("doc_id"), -1 - F.shiftrightunsigned(F.xxhash64("text"), 2))
-    groups = find(docs.select(name.alias("doc_id"), "text"))
-    kept = stage(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__keep_id")).agg(F.count("*").alias("__copies")), "kept")
-    out = docs.join(kept.hint("merge"), name == F.col("__keep_id"))  # the documents kept grow with the input
-    repeated = out.where("__copies > 1").dropDuplicates(["__keep_id"])
-    return out.where("__copies = 1").unionByName(repeated).select(*(F.col(f"`{c}`") for c in docs.columns))
+    ident, mark = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64(F.col("text"), F.col("doc_id").isNull()).alias("mark")
+    groups = find(docs.select(ident, mark, "text"))
+    kept = stage(groups.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("k")).select("k.doc_id", "k.mark"), "kept")
+    documents = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), ident, mark).dropDuplicates(["doc_id", "mark"])
+    return documents.join(kept.hint("merge"), ["doc_id", "mark"]).select("row.*")  # the documents kept grow with the input
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

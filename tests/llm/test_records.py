@@ -103,6 +103,20 @@ def test_near_copies(spark, make):
     kept = corpus_pipeline.near_duplicates(spark, docs.unionByName(docs), "")
     assert sorted(x.doc_id for x in kept.collect()) == sorted({s.find(i) for i in sets}) and kept.columns == docs.columns
     assert near.near_copies(docs.where("false")).count() == 0
+    # links of the pigeonring filter are candidates too, with no min-hashes at all
+    prints = near.print_links(spark.createDataFrame([(1, 7), (2, 7), (3, 6), (4, -1)], "set_id long, fp long"))
+    assert {frozenset(x) for x in prints.collect()} == {frozenset((1, 2)), frozenset((1, 3))}
+
+
+def test_texts_of_one_id_stay(spark, make):
+    """A doc_id with two texts is two documents; rows that repeat both are one; rows without doc_id go last."""
+    far, near_, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    docs = make((7, far), (7, near_), (7, near_), (9, near_), (None, other), (None, other), (8, far), (None, far), (5, None), (6, "")).selectExpr("*", "1 AS mark", "2 AS root", "3 AS row")
+    for find in (simhash.print_roots, near.near_roots):
+        kept = simhash.one_of_each(docs, find)
+        assert kept.columns == docs.columns
+        assert sorted((-1 if x.doc_id is None else x.doc_id, x.text) for x in kept.collect() if x.text) == [(-1, other), (7, far), (7, near_)]
+        assert [x.doc_id for x in kept.collect() if not x.text] == [5]
 
 
 def test_settle_is_exact():
