@@ -26,7 +26,7 @@ def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles with a Jaccard similarity of 0.8 or more."""
-    return simhash.one_of_each(docs, near.near_copies)
+    return simhash.one_of_each(docs, near.near_roots)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
