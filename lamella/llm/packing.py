@@ -2,15 +2,16 @@
 
 Let N(g) be the number of open sequences with g free tokens. Each piece goes where the sum of N(g)^2 is smallest
 afterwards: into a new sequence, or into an open one of any gap that holds it. Keeping the counts of all gaps low
-keeps gaps of every size on offer, and so waste low. Pieces are dealt evenly over groups of about `GROUP` pieces by a
-hash, packed in the order of that hash, and every group is packed apart. What a group's end leaves open with more than
-1/`SLACK` of its room is taken out once more and placed largest first, each piece into the tightest gap.
+keeps gaps of every size on offer, and so waste low. Of equally good places an open sequence comes before a new one,
+and a smaller gap before a larger one. Pieces are dealt evenly over groups of about `GROUP` pieces, repeated rows as
+well, and taken in the order of a hash; every group is packed apart. What a group's end leaves open with more than
+1/`SLACK` of its room is taken out and placed once more by the same rule, largest first, where a new sequence is
+opened only for a piece that no open one holds.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,20 +49,24 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
-    """The sequences, each a list of places in `sizes` (1 to capacity)."""
+def place(items: list[int], sizes: np.ndarray, capacity: int = CAPACITY, sparing: bool = False) -> list[list[int]]:
+    """The sequences, each a list of items (places in `sizes`, of 1 to capacity), by the rule of least squares.
+
+    sparing: a new sequence is opened only where no open one holds the item.
+    """
     count = np.zeros(capacity + 1, np.int64)  # of open sequences by gap; 0 and capacity stay 0
     by_gap: dict[int, list[int]] = {}
     bins: list[list[int]] = []
     never = np.int64(1 << 60)
-    for i, s in enumerate(sizes.tolist()):
-        gain = np.where(count[s:capacity] > 0, 2 * (count[: capacity - s] - count[s:capacity]) + 2, never)
+    for i in items:
+        s, into = int(sizes[i]), capacity
         if s < capacity:
-            gain[0] -= 1
-            best = int(gain.argmin())
-            into = best + s if gain[best] <= 2 * count[capacity - s] + 1 else capacity
-        else:
-            into = capacity
+            # from gap g to g - s: the squares change by 2 (N(g - s) - N(g)) + 2, by one less where nothing is left
+            change = np.where(count[s:capacity] > 0, 2 * (count[: capacity - s] - count[s:capacity]) + 2, never)
+            change[0] -= 1
+            best = int(change.argmin())
+            if change[best] < never - 1 and (sparing or change[best] <= 2 * count[capacity - s] + 1):
+                into = best + s
         if into == capacity:
             at = len(bins)
             bins.append([i])
@@ -72,26 +77,15 @@ def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int
         if left := into - s:
             by_gap.setdefault(left, []).append(at)
             count[left] += 1
-    fill = [int(sizes[b].sum()) for b in bins]
-    enough = capacity - capacity // SLACK
-    kept = [b for b, f in zip(bins, fill, strict=True) if f >= enough]
-    return kept + best_fit_decreasing([i for b, f in zip(bins, fill, strict=True) if f < enough for i in b], sizes, capacity)
-
-
-def best_fit_decreasing(items: list[int], sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Largest piece first, each into the tightest gap that holds it."""
-    out: list[list[int]] = []
-    gaps: list[tuple[int, int]] = []
-    for i in sorted(items, key=lambda i: -sizes[i]):
-        s = int(sizes[i])
-        k = bisect_left(gaps, (s, -1))
-        gap, at = gaps.pop(k) if k < len(gaps) else (capacity, len(out))
-        if at == len(out):
-            out.append([])
-        out[at].append(i)
-        if gap > s:
-            insort(gaps, (gap - s, at))
-    return out
+    return bins
+
+
+def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
+    """The sequences of a whole group, each a list of places in `sizes`."""
+    bins = place(list(range(len(sizes))), sizes, capacity)
+    full = [int(sizes[b].sum()) >= capacity - capacity // SLACK for b in bins]
+    rest = sorted((i for b, f in zip(bins, full, strict=True) if not f for i in b), key=lambda i: -sizes[i])
+    return [b for b, f in zip(bins, full, strict=True) if f] + place(rest, sizes, capacity, sparing=True)
 
 
 def packed(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
@@ -115,7 +109,7 @@ def packed(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Da
 
     rest = found.where(F.col("length") < capacity)
     deal = F.xxhash64("doc_id", "piece", "ids_crc32")
-    rest = rest.repartition(max(1, -(-n // group)), deal).sortWithinPartitions(deal, "doc_id", "piece")
+    rest = rest.repartition(max(1, -(-n // group))).sortWithinPartitions(deal, "doc_id", "piece")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     full = found.where(F.col("length") == capacity).select("*", (F.monotonically_increasing_id() + F.lit(FULL_FROM)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return rest.mapInArrow(run, schema).unionByName(full)
