@@ -3,7 +3,9 @@
 The merge list decides how far to the right of a token its presence can depend on what follows: walking the merges in
 order of rank, a left part depends on its partner, which depends on what may claim it, and so on. `lookahead` holds
 that distance for every symbol. A token is emitted once so many bytes behind its end are known, and encoding goes on
-from there, since no merge crosses a token's edge. Memory stays constant however long a word without spaces is.
+from there, since no merge crosses a token's edge. Every word goes through the transducer; only its results are kept for
+words that come again. Ids and text run into digests block by block, with one decoder for a document, so memory stays
+constant however long a document, or a word without spaces, is.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -27,6 +30,8 @@ from .common import map_batches, table, texts
 
 #: Words kept per worker, the longest word that is kept, and symbols up to which a plain scan beats a heap.
 WORDS, LONGEST, SCAN = 400_000, 48, 100
+#: Characters that are split at once, longer texts block by block; ids that run into a digest at once; bytes that are decoded at once.
+CHARS, IDS, PORTION = 1 << 18, 1 << 14, 1 << 16
 SHIFT, NEVER = 20, 1 << 40
 
 
@@ -140,13 +145,11 @@ class Decoder:
         self.table, self.between, self.begun = table, between, False
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def reset(self) -> Decoder:
-        self.state.reset()
-        self.begun = False
-        return self
-
     def feed(self, ids: Iterable[int]) -> str:
-        data = self.between.join(map(self.table.__getitem__, ids))
+        return self.push(self.between.join(map(self.table.__getitem__, ids)))
+
+    def push(self, data: bytes) -> str:
+        """The tokens' bytes themselves, joined by `between`."""
         if data and self.begun:
             data = self.between + data
         self.begun |= bool(data)
@@ -156,6 +159,27 @@ class Decoder:
         return self.state.decode(b"", True)
 
 
+class Running:
+    """A document's count of ids and its two digests, added to block by block."""
+
+    def __init__(self, decoder: Decoder):
+        self.n, self.ids, self.text, self.decoder = 0, hashlib.sha256(), hashlib.sha256(), decoder
+
+    def add(self, n: int, ids: bytes, names: bytes) -> None:
+        """n ids in decimal and the names of their tokens, each joined by spaces."""
+        if not n:
+            return
+        self.ids.update(b" " + ids if self.n else ids)
+        self.n += n
+        self.text.update(self.decoder.push(names[:PORTION]).encode())
+        for at in range(PORTION, len(names), PORTION):
+            self.text.update(self.decoder.state.decode(names[at : at + PORTION]).encode())
+
+    def close(self) -> tuple[int, str, str]:
+        self.text.update(self.decoder.close().encode())
+        return self.n, self.ids.hexdigest(), self.text.hexdigest()
+
+
 class WordBpe:
     """The lower-casing word tokenizer: NFC, white space dropped, words and marks apart, merges within a word."""
 
@@ -170,31 +194,29 @@ class WordBpe:
         self.bytes = {i: t.encode() if t in self.merges.added else bytes(letters[c] for c in t.removesuffix(tail)) + b" " * (bool(tail) and t.endswith(tail)) for i, t in self.merges.names.items()}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.merges.added)) + ")")
         self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.decoder = Decoder(self.names, b" ")
+        self.transducer, self.fed = Transducer(self.merges, self.window), 0  # fed: words so far
+
+    def through(self, word: str) -> Iterator[int]:
+        """A word's ids, as the transducer gives them."""
+        self.fed += 1
+        yield from self.transducer.feed(word.encode())
+        yield from self.transducer.close()
 
-    def chunk(self, text: str) -> list[int]:
+    def chunk(self, text: str) -> Iterator[int]:
         """Ids of a normalised text without spaces."""
-        ids: list[int] = []
         if text.isalpha():
             words = [text]
         elif text[-1] in ".," and text[:-1].isalpha():
             words = [text[:-1], text[-1]]
         else:
-            words = self.SPLIT.findall(text)
+            words = (m[0] for m in self.SPLIT.finditer(text))
         for word in words:
-            data = word.encode()
-            if len(data) <= self.window:
-                ids += self.merges.whole(data)
-            else:
-                t = Transducer(self.merges, self.window)
-                ids += [*t.feed(data), *t.close()]
-        return ids
+            yield from self.through(word)
 
     def digest_of(self, text: str) -> tuple[bytes, bytes]:
-        """A chunk's ids in decimal and its decoded text, each joined by spaces; kept for short chunks."""
-        ids = self.chunk(text)
-        d = self.decoder.reset()
-        out = " ".join(map(str, ids)).encode(), (d.feed(ids) + d.close()).encode()
+        """A chunk's ids in decimal and its tokens' names, each joined by spaces; kept for short chunks."""
+        ids = list(self.chunk(text))
+        out = " ".join(map(str, ids)).encode(), b" ".join(map(self.names.__getitem__, ids))
         if len(text) <= LONGEST and len(self.known) < WORDS:
             self.known[text] = out
         return out
@@ -225,17 +247,12 @@ class WordBpe:
         d = Decoder(self.bytes)
         return d.feed(ids) + d.close()
 
-    def parts(self, text: str) -> list[tuple[bytes, bytes]]:
-        return [p for part, added in self.segments(text) for p in ([(b"%d" % added, self.names[added])] if added is not None else map(self.digest_of, filter(None, part.split(" "))))]
-
-    def digests(self, column: pa.Array) -> tuple[np.ndarray, list[str], list[str]]:
-        """For each text of an Arrow column: count of ids, sha256 of the ids in decimal, sha256 of the decoded text.
+    def joined(self, normal: list[str]) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+        """For each normalised text: count of ids, ids in decimal, names of the tokens, each joined by spaces.
 
-        Arrow splits a batch, makes its words distinct and puts their results together again.
+        Arrow splits the texts, makes their words distinct and puts their results together again.
         """
-        got = texts(column)
-        marked = {i: self.parts(t) for i, t in enumerate(got) if "<|" in t}
-        split = pc.split_pattern(pa.array(["" if i in marked else self.normal(t) for i, t in enumerate(got)], pa.string()), " ")
+        split = pc.split_pattern(pa.array(normal, pa.string()), " ")
         coded = split.flatten().dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         done = [d or (self.digest_of(w) if w else (b"", b"")) for d, w in zip(map(self.known.get, distinct), distinct, strict=True)]
@@ -245,16 +262,63 @@ class WordBpe:
         kept = at[some[at]] if len(at) else at
         starts = split.offsets.to_numpy() - split.offsets[0].as_py()
         ends = pa.array(np.r_[0, np.cumsum(some[at])][starts], pa.int32())
-        n = np.diff(np.r_[0, np.cumsum(many[at])][starts])
         columns = []
         for k in (0, 1):
             values = pa.array([d[k] for d in done], pa.binary()).take(pa.array(kept))
             columns.append(pc.binary_join(pa.ListArray.from_arrays(ends, values), b" ").to_pylist())
-        for i, p in marked.items():
-            n[i] = sum(x[0].count(b" ") + 1 for x in p if x[0])
-            for k in (0, 1):
-                columns[k][i] = b" ".join(x[k] for x in p if x[0])
-        return n, *([hashlib.sha256(x).hexdigest() for x in c] for c in columns)
+        return np.diff(np.r_[0, np.cumsum(many[at])][starts]), *columns
+
+    def blocks(self, normal: str) -> Iterator[tuple[str, bool]]:
+        """A normalised text in blocks that end at spaces, and whether a block is one chunk, longer than others."""
+        at = 0
+        while at < len(normal):
+            end, long = len(normal), False
+            if end - at > CHARS:
+                cut = normal.rfind(" ", at, at + CHARS)
+                long = cut < 0
+                end = normal.find(" ", at) if long else cut
+                end = len(normal) if end < 0 else end
+            yield normal[at:end], long
+            at = end + 1
+
+    def streamed(self, text: str) -> tuple[int, str, str]:
+        """The digests of a text of any length or with added tokens."""
+        out = Running(Decoder(self.names, b" "))
+        for part, added in self.segments(text):
+            if added is not None:
+                out.add(1, b"%d" % added, self.names[added])
+                continue
+            for block, long in self.blocks(part):
+                if long:
+                    ids = self.chunk(block)
+                    while some := list(islice(ids, IDS)):
+                        out.add(len(some), " ".join(map(str, some)).encode(), b" ".join(map(self.names.__getitem__, some)))
+                else:
+                    n, ids, names = self.joined([block])
+                    out.add(int(n[0]), ids[0], names[0])
+        return out.close()
+
+    def digests(self, column: pa.Array) -> list[tuple[int, str, str]]:
+        """For each text of an Arrow column: count of ids, sha256 of the ids in decimal, sha256 of the decoded text."""
+        got = texts(column)
+        found: list[tuple[int, str, str]] = [(0, "", "")] * len(got)
+        some: list[int] = []
+        held = 0
+        for i, t in enumerate([*got, None]):
+            if t is None or held + len(t) > CHARS:  # what is held goes through as one
+                for j, n, ids, names in zip(some, *self.joined([self.normal(got[j]) for j in some]), strict=True):
+                    out = Running(Decoder(self.names, b" "))
+                    out.add(int(n), ids, names)
+                    found[j] = out.close()
+                some, held = [], 0
+            if t is None:
+                break
+            if len(t) > CHARS or "<|" in t:
+                found[i] = self.streamed(t)
+            else:
+                some.append(i)
+                held += len(t)
+        return found
 
 
 @functools.cache
@@ -286,9 +350,9 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_tokens, ids_sha256, decoded_sha256), a row for each row. Null texts are empty."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = word_bpe(vocabulary)
-        n, ids, out = bpe.digests(b.column("text"))
-        return pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(out, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        found = word_bpe(vocabulary).digests(b.column("text"))
+        columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+        return pa.record_batch([b.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lamella.llm import language, library_bpe, pii, token_files, toxicity
+from lamella.llm import bpe_stream, language, library_bpe, pii, token_files, toxicity
 from lamella.llm.bpe_stream import Decoder, Transducer, decode_documents, encode_documents, round_trip, word_bpe
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -84,6 +84,46 @@ def test_round_trip(spark, make):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == want, texts[r.doc_id]
 
 
+@pytest.mark.parametrize("chars", [7, 60, None])
+def test_blocks_of_documents(monkeypatch, chars):
+    """Blocks of any size, ids and bytes in portions that cut characters: the same digests; every word is fed."""
+    monkeypatch.setattr(bpe_stream, "CHARS", chars or bpe_stream.CHARS)
+    monkeypatch.setattr(bpe_stream, "IDS", 3)
+    monkeypatch.setattr(bpe_stream, "PORTION", 5)
+    own, library = bpe_stream.WordBpe(WORD), Tokenizer.from_file(WORD)
+    texts = [*mixed(200, 5), *ODD, "word " * 40, "日本語é" * 40 + " x"]
+    for t, (n, ids, out) in zip(texts, own.digests(pa.array(texts, pa.string())), strict=True):
+        want = library.encode(t or "", add_special_tokens=False).ids
+        text = library.decode(want, skip_special_tokens=False)
+        assert (n, ids, out) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()), t
+    if not chars:  # what is kept came from the transducer, word by word
+        words = {w for t in texts if t for part, added in own.segments(t) if added is None for c in part.split(" ") if c for w in own.SPLIT.findall(c)}
+        assert own.fed >= len(words)
+        again = own.fed
+        own.digests(pa.array(["word word"], pa.string()))
+        assert own.fed == again and own.known["word"][0].decode() == " ".join(map(str, library.encode("word").ids))
+
+
+def test_a_long_word_takes_constant_memory():
+    own = bpe_stream.WordBpe(WORD)
+    tracemalloc.start()
+    peaks = []
+    for n in (30_000, 120_000):
+        word = "abcdefgh" * (n // 8)
+        data = word.encode()
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        out = bpe_stream.Running(Decoder(own.names, b" "))
+        ids = own.transducer.feed(data)
+        while some := list(bpe_stream.islice(ids, 1000)):
+            out.add(len(some), " ".join(map(str, some)).encode(), b" ".join(own.names[i] for i in some))
+        rest = [*own.transducer.close()]
+        out.add(len(rest), b"1", b"1")
+        peaks.append(tracemalloc.get_traced_memory()[1] - before)
+    tracemalloc.stop()
+    assert peaks[1] < peaks[0] + 50_000
+
+
 def test_encode_decode_documents(spark, make):
     coded = encode_documents(make((1, "Hello wörld"), (2, None)), WORD)
     assert {r.doc_id: r.text for r in decode_documents(coded, WORD).collect()} == {1: Tokenizer.from_file(WORD).decode(word_bpe(WORD).encode("Hello wörld")), 2: ""}
