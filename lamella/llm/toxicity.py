@@ -1,10 +1,12 @@
 """Toxicity by weak supervision.
 
 Voters look at the words of a text: fixed lexicon entries, words and word beginnings mined from the labelled rows, and
-patterns of shouting and address. A generative label model (a latent class per text, each voter with its own chance to
-fire under either class) is fitted by expectation maximisation on a bounded sample of labelled rows; voters that are
-correlated beyond the class share their weight. Its posteriors are the targets of a ridge logistic regression
-over the voters, which scores whole texts: one pass of a string automaton, whatever the number of voters.
+patterns of shouting and address. The labels do no more than choose the mined voters. A generative label model explains
+who fires by a latent class: every voter has its own chance to fire under either class, and voters that are correlated
+beyond the class form a forest, in which a voter's chance also depends on whether its parent fired. It is fitted by
+expectation maximisation on the votes of a bounded sample, without the labels. Its posteriors are the targets of a
+ridge logistic regression over the voters, which scores whole texts: one pass of a string automaton, whatever the
+number of voters.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import functools
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -25,8 +28,10 @@ from .language import remainder
 
 #: The training sample: rows per label, and the longest text that is taken into it.
 PER_LABEL, SAMPLE_CHARS = {0: 5000, 1: 2500}, 20_000
-#: Mined voters, the fewest toxic texts that support one, its least log-odds (one-sided bound), and lengths of word beginnings.
-MINED, SUPPORT, LOG_ODDS, STEMS = 900, 4, 2.0, (4, 5, 6)
+#: Mined voters, the fewest toxic texts that support one, its least log-odds, the deviations of that one-sided bound, and lengths of word beginnings.
+MINED, SUPPORT, LOG_ODDS, BOUND, STEMS = 900, 4, 2.0, 2.2, (4, 5, 6)
+#: Texts that are added to each count of a voter, those to a count beside its parent, and the likelihood ratio beyond which two voters are correlated.
+SMOOTH, PRIOR, CHANCE = 0.1, 0.1, 20.0
 THRESHOLD = 0.7
 LEXICON = ("idiot", "idiots", "stupid", "moron", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "dumb", "ugly", "hate you", "shut up", "kill yourself", "bastard", "freak", "filthy", "garbage", "vermin", "jerk", "imbecile", "coward", "despicable")
 PATTERNS = (("shouting", "!!"), ("address", " you are "), ("address_short", " you're "), ("questions", "??"))
@@ -86,30 +91,97 @@ def mined(sample: list[str], toxic: np.ndarray) -> list[tuple[str, bool]]:
     for t in (t for t, y in zip(sample, toxic, strict=True) if not y):
         no.update(k for k in traits(t) if k in yes)
     ny, nn = toxic.sum(), (~toxic).sum()
-    odds = {k: np.log((n - 0.8 * np.sqrt(n) + 0.1) / (ny + 1)) - np.log((no[k] + 0.8 * np.sqrt(no[k]) + 0.5) / (nn + 1)) for k, n in yes.items()}
+    low = lambda n: max(0.01, n - BOUND * np.sqrt(n))
+    odds = {k: np.log(low(n) / (ny + 1)) - np.log((no[k] + BOUND * np.sqrt(no[k]) + 1) / (nn + 1)) for k, n in yes.items()}
     return sorted((k for k, v in odds.items() if v >= LOG_ODDS), key=lambda k: (-odds[k] * np.sqrt(yes[k]), k))[:MINED]
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of each text and weight of each voter, from who fires (n, voters) and first guesses.
-
-    A voter that doesn't fire abstains; one more voter fires where all others abstain, and the given labels are two
-    voters themselves, whose accuracy is estimated like any other's.
+@dataclass
+class LabelModel:
+    """prior: of the class. parent: of each voter, or -1. chance[voter, class, whether the parent fired]: to fire."""
+
+    prior: float
+    parent: np.ndarray
+    chance: np.ndarray
+
+    def joint(self, votes: np.ndarray) -> np.ndarray:
+        """Log probability of each text's votes with class 0 and with class 1; a voter that doesn't fire counts as such."""
+        v = votes.astype(float)
+        up = np.where(self.parent >= 0, v[:, self.parent], 0.0)
+        out = np.tile(np.log([1 - self.prior, self.prior]), (len(v), 1))
+        on, off = np.log(self.chance), np.log1p(-self.chance)
+        for y in (0, 1):
+            for given, share in ((0, 1 - up), (1, up)):
+                out[:, y] += (share * v) @ on[:, y, given] + (share * (1 - v)) @ off[:, y, given]
+        return out
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        z = self.joint(votes)
+        return 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -500, 500)))
+
+    @classmethod
+    def fitted(cls, votes: np.ndarray, q: np.ndarray, parent: np.ndarray | None = None) -> LabelModel:
+        """The likeliest model where text i is of class 1 with probability q[i]; parents are found unless given."""
+        v = votes.astype(float)
+        both = [(v * w[:, None]).T @ v for w in (1 - q, q)]
+        n = [float((1 - q).sum()), float(q.sum())]
+        if parent is None:
+            parent = forest_of(both, n)
+        chance, at, has = np.empty((v.shape[1], 2, 2)), np.arange(v.shape[1]), parent >= 0
+        for y in (0, 1):
+            alone = np.diag(both[y])
+            base = (alone + SMOOTH) / (n[y] + 2 * SMOOTH)
+            with_, ups = np.where(has, both[y][at, parent], 0.0), np.where(has, alone[parent], 0.0)
+            chance[:, y, 1] = np.where(has, (with_ + PRIOR * base) / (ups + PRIOR), base)
+            chance[:, y, 0] = np.where(has, (alone - with_ + PRIOR * base) / (n[y] - ups + PRIOR), base)
+        return cls(float(np.clip(q.mean(), 1e-3, 1 - 1e-3)), parent, np.clip(chance, 1e-6, 1 - 1e-6))
+
+
+def forest_of(both: list[np.ndarray], n: list[float]) -> np.ndarray:
+    """Each voter's parent (-1: none): the heaviest forest by what two voters tell about each other beyond the class.
+
+    both[class][i, j]: texts of the class in which i and j fire. Pairs whose likelihood ratio is within chance have no edge.
+    """
+    k = len(both[0])
+    told = np.zeros((k, k))
+    for c, size in zip(both, n, strict=True):
+        if size <= 0:
+            continue
+        p = np.diag(c) / size
+        for i_on in (0, 1):
+            for j_on in (0, 1):
+                pi, pj = p if i_on else 1 - p, p if j_on else 1 - p
+                seen = {(1, 1): c / size, (1, 0): p[:, None] - c / size, (0, 1): p[None, :] - c / size, (0, 0): 1 - p[:, None] - p[None, :] + c / size}[i_on, j_on]
+                ratio = np.where(seen > 1e-12, seen, 1.0) / np.maximum(np.where(seen > 1e-12, np.outer(pi, pj), 1.0), 1e-12)
+                told += size * np.where(seen > 1e-12, seen, 0.0) * np.log(ratio)
+    np.fill_diagonal(told, 0)
+    told[2 * told < CHANCE] = 0
+    fires = np.diag(both[0]) + np.diag(both[1])
+    parent, best = np.full(k, -1), np.zeros(k)
+    left = np.ones(k, bool)
+    while left.any():  # Prim: the voter with the heaviest edge to the forest, else the most frequent one as a new root
+        i = int(np.where(left, best, -1).argmax()) if (left & (best > 0)).any() else int(np.where(left, fires, -1).argmax())
+        left[i] = False
+        better = left & (told[i] > best)
+        best[better], parent[better] = told[i][better], i
+    return parent
+
+
+def label_model(votes: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, LabelModel]:
+    """Posterior of each text and the model, from who fires (n, voters) alone.
+
+    Begins with the share of texts in which some voter fires; the forest is found anew in the first rounds. Class 1 is the one
+    in which voters fire more.
     """
-    q, m = start.astype(float), np.c_[votes, ~votes.any(1), start > 0.5, start <= 0.5].astype(np.float64)
-    weight = np.ones(m.shape[1])
+    q = np.where(votes.any(1), 0.9, 0.05)
+    model = LabelModel.fitted(votes, q, np.full(votes.shape[1], -1))
     for k in range(rounds):
-        on, off = (q @ m + 0.1) / (q.sum() + 0.2), ((1 - q) @ m + 0.1) / ((1 - q).sum() + 0.2)
-        if k == 2:  # correlation that the class doesn't explain
-            rest = m - q[:, None] * on - (1 - q)[:, None] * off
-            sd = np.sqrt((rest**2).mean(0)) + 1e-9
-            c = (rest.T @ rest) / len(m) / np.outer(sd, sd)
-            n = votes.shape[1]
-            weight[:n] = 1 / np.where(c[:n, :n] > 0.2, c[:n, :n], 0).sum(0).clip(1)
-        prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
-        z = np.log(prior / (1 - prior)) + m @ (weight * np.log(on / off))
-        q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return q, weight
+        q = model.posterior(votes)
+        model = LabelModel.fitted(votes, q, None if k in (1, 3) else model.parent)
+    q = model.posterior(votes)
+    if (q @ votes.sum(1)) * max(1e-9, (1 - q).sum()) < ((1 - q) @ votes.sum(1)) * q.sum():
+        q, model = 1 - q, LabelModel(1 - model.prior, model.parent, model.chance[:, ::-1])
+    return q, model
 
 
 def logistic(x: np.ndarray, target: np.ndarray, l2: float = 0.1, rounds: int = 25, least: float = 0.02) -> tuple[np.ndarray, float]:
@@ -132,10 +204,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sizes = dict(labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("toxic").count().collect())
     if len(sizes) < 2:
         return Model(bias=-4.0 if sizes.get(0, 1) else 4.0)
-    share = F.when(F.col("toxic") == 1, min(1.0, PER_LABEL[1] / sizes[1])).otherwise(min(1.0, PER_LABEL[0] / sizes[0]))
-    drawn = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).where("toxic IN (0, 1)").select("doc_id", "toxic").distinct().limit(2 * sum(PER_LABEL.values()))
-    ids = docs.sparkSession.createDataFrame(drawn.toPandas(), "doc_id long, toxic int")  # at most 2 * sum(PER_LABEL.values()) rows
-    rows = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(F.broadcast(ids), "doc_id").limit(2 * sum(PER_LABEL.values())).toPandas().sort_values(["doc_id", "text", "toxic"])
+    # per label the rows of the smallest hashes: a bounded sample that is the same however the tables are cut
+    share = F.when(F.col("toxic") == 1, min(1.0, 1.2 * PER_LABEL[1] / sizes[1])).otherwise(min(1.0, 1.2 * PER_LABEL[0] / sizes[0]))
+    spread = F.xxhash64("doc_id", F.lit(3))
+    drawn = labels.where("toxic IN (0, 1)").where(F.pmod(spread, F.lit(1_000_000)) < share * 1_000_000).select("doc_id", "toxic").distinct()
+    drawn = reduce(DataFrame.unionByName, (drawn.where(F.col("toxic") == y).orderBy(spread, "doc_id").limit(n) for y, n in PER_LABEL.items()))
+    ids = docs.sparkSession.createDataFrame(drawn.toPandas(), "doc_id long, toxic int")  # at most sum(PER_LABEL.values()) rows
+    found = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = found.orderBy(spread, "doc_id", "text", "toxic").limit(2 * sum(PER_LABEL.values())).toPandas().sort_values(["doc_id", "text", "toxic"])  # a doc_id may repeat
     if rows.empty or rows["toxic"].nunique() < 2:
         return Model(bias=-4.0)
     sample, toxic = rows["text"].tolist(), rows["toxic"].to_numpy() == 1
@@ -148,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         votes[i, [at[k] for k in traits(t) if k in at]] = True
         votes[i, [at[w, True] for w in LEXICON if " " in w and w in low]] = True
         votes[i, len(voters) :] = [p in low for _, p in PATTERNS]
-    posterior, _ = label_model(votes, np.where(toxic, 0.97, 0.03))
+    posterior, _ = label_model(votes)
     w, bias = logistic(votes, posterior)
     words = {k[0]: float(v) for k, v in zip(voters, w, strict=False) if k[1] and v}
     stems = {k[0]: float(v) for k, v in zip(voters, w, strict=False) if not k[1] and v}

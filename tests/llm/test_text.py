@@ -330,6 +330,45 @@ def test_language_blocks(monkeypatch):
     assert abs(len(many) - len(one)) < len(one) * 0.1 and set(one) <= set(many)
 
 
+def test_label_model_is_a_distribution():
+    """Against enumeration: the votes of a class sum to one, posteriors are those of the joint, counts give the chances."""
+    m = toxicity.LabelModel(0.3, np.array([-1, 0, 1, -1]), np.random.default_rng(0).uniform(0.05, 0.95, (4, 2, 2)))
+    votes = np.array([[i >> k & 1 for k in range(4)] for i in range(16)], bool)
+    want = np.empty((16, 2))
+    for i, v in enumerate(votes.astype(int)):
+        for y in (0, 1):
+            p = (0.7, 0.3)[y]
+            for j, up in enumerate((-1, 0, 1, -1)):
+                c = m.chance[j, y, v[up] if up >= 0 else 0]
+                p *= c if v[j] else 1 - c
+            want[i, y] = p
+    assert np.allclose(np.exp(m.joint(votes)), want) and np.isclose(want.sum(), 1)
+    assert np.allclose(m.posterior(votes), want[:, 1] / want.sum(1))
+
+
+def test_label_model_recovers_accuracies_and_correlations():
+    """Votes drawn from a known model, no labels given: chances and class come out, and a voter's echo is its child."""
+    r = np.random.default_rng(1)
+    y = r.random(8000) < 0.3
+    yes, no = np.array([0.7, 0.6, 0.5, 0.8, 0.4, 0.6]), np.array([0.05, 0.1, 0.02, 0.1, 0.05, 0.02])
+    votes = r.random((8000, 6)) < np.where(y[:, None], yes, no)
+    echo = np.where(r.random(8000) < 0.9, votes[:, 0], r.random(8000) < 0.3)
+    q, m = toxicity.label_model(np.c_[votes, echo])
+    assert ((q > 0.5) == y).mean() > 0.95 and abs(m.prior - 0.3) < 0.03
+    assert m.parent[6] == 0 or m.parent[0] == 6
+    for j in range(1, 6):
+        if m.parent[j] < 0:
+            assert abs(m.chance[j, 1, 0] - yes[j]) < 0.06 and abs(m.chance[j, 0, 0] - no[j]) < 0.06
+
+
+def test_toxicity_sample_does_not_depend_on_partitions(spark, make, monkeypatch):
+    monkeypatch.setattr(toxicity, "PER_LABEL", {0: 60, 1: 40})
+    rows = [(i, f"{'idiot vequa' if i % 3 == 0 else 'house'} water {i % 7}") for i in range(300)]
+    docs, marks = make(*rows), spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    models = [toxicity.train(docs.repartition(n), marks.repartition(n)) for n in (1, 7)]
+    assert models[0] == models[1] and models[0].words
+
+
 def test_toxicity(spark, make):
     r = random.Random(0)
     rows, labels = [], []
