@@ -34,14 +34,17 @@ def letters() -> np.ndarray:
 
 def ngrams(text: str) -> Iterator[tuple[np.ndarray, bool]]:
     """Hashed n-grams of a text, block by block, each with whether the block has a letter."""
+    last = np.empty(0, np.uint32)
     for at in range(0, len(text), BLOCK):
-        codes = np.frombuffer(text[max(0, at - 2) : at + BLOCK].lower().encode("utf-32-le", "surrogatepass"), "<u4")
+        codes = np.frombuffer(text[at : at + BLOCK].lower().encode("utf-32-le", "surrogatepass"), "<u4")
         is_letter = letters()[codes]
-        c = np.where(is_letter, codes, 32).astype(np.uint32)
-        c = c[np.r_[True, (c[1:] != 32) | (c[:-1] != 32)]]
+        new = np.where(is_letter, codes, 32).astype(np.uint32)
+        new = new[np.r_[not (len(last) and last[-1] == 32 and new[0] == 32), (new[1:] != 32) | (new[:-1] != 32)]]
+        c = np.r_[last, new]  # the last two characters before begin n-grams that end here
         two = c[:-1] * np.uint32(0x9E3779B1) + c[1:]
         three = two[:-1] * np.uint32(0x85EBCA6B) + c[2:]
-        h = np.concatenate([c * np.uint32(0xC2B2AE35), two * np.uint32(0x27D4EB2F), three * np.uint32(0x165667B1)])
+        h = np.concatenate([new * np.uint32(0xC2B2AE35), two[max(0, len(last) - 1) :] * np.uint32(0x27D4EB2F), three * np.uint32(0x165667B1)])
+        last = c[-2:]
         yield (h >> np.uint32(32 - 15)).astype(np.int32), bool(is_letter.any())
 
 

@@ -409,7 +409,7 @@ def whole(text: str, span: Span) -> Span | None:
 
 def plausible(s: str, kind: int) -> bool:
     if kind == 0:
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)) ?[A-Za-z0-9-]+)+", s))
+        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+(?: ?\(dot\) ?[A-Za-z0-9._%+-]+)* ?(?:@|\(at\)) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)) ?[A-Za-z0-9-]+)+", s))
     if kind == 1:
         return s.count(".") == 3 and bool(re.fullmatch(r"[0-9]+(?: ?\. ?[0-9]+){3}", s)) and valid_ip(s.replace(" ", ""))
     if kind == 2:
@@ -445,8 +445,9 @@ def train(docs: DataFrame) -> Tagger | None:
     """A tagger from a bounded sample of documents that have triggers; None where there are no spans to learn from."""
     hit = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS)).select("text")
     n = hit.count()
-    share = min(1.0, 1.2 * SAMPLE / n) if n else 0.0
-    drawn = hit.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * share)).limit(SAMPLE).toPandas()
+    share, spread = min(1.0, 2 * SAMPLE / n) if n else 0.0, F.xxhash64("text")
+    # distinct texts of the smallest hashes: the same sample however the table is cut, whatever its copies
+    drawn = hit.where(F.pmod(spread, F.lit(1_000_000)) < int(1_000_000 * share)).distinct().orderBy(spread, "text").limit(SAMPLE).toPandas()
     r = np.random.default_rng(SEED)
     ids, tags = [], []
     for text in sorted(drawn["text"]):
