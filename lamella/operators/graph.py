@@ -4,17 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+from lamella.operators.staging import drop, staged
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RULES = "workflow string, rule_order int, rule string, item string"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint where the session has a folder for it, else kept rows."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def blank(c: str) -> Column:
     return F.col(c).isNull() | (F.trim(c) == "")
 
@@ -24,17 +20,23 @@ def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Peels sources layer by layer: as many rounds as the deepest graph has layers, each over what is left of all.
     """
-    left = nodes.select("workflow", "node_id").where(~blank("node_id")).distinct()
-    live = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("workflow", "src", "dst").distinct().join(left.withColumnRenamed("node_id", "src"), ["workflow", "src"], "left_semi").join(left.withColumnRenamed("node_id", "dst"), ["workflow", "dst"], "left_semi")
+    left = staged(nodes.select("workflow", "node_id").where(~blank("node_id")).distinct(), "left")
+    ends = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("workflow", "src", "dst").distinct()
+    for end in ("src", "dst"):
+        ends = ends.join(left.withColumnRenamed("node_id", end), ["workflow", end], "left_semi")
+    live = staged(ends, "live")
     done, step = [], 0
     while True:
-        first = left.join(live.select("workflow", F.col("dst").alias("node_id")), ["workflow", "node_id"], "left_anti").withColumn("super_step", F.lit(step)).transform(cut)
+        sources = left.join(live.select("workflow", F.col("dst").alias("node_id")), ["workflow", "node_id"], "left_anti")
+        first = staged(sources.withColumn("super_step", F.lit(step)), "layer")
         if first.isEmpty():
             break
         done.append(first)
-        left = left.join(first, ["workflow", "node_id"], "left_anti").transform(cut)
-        live = live.join(first.select("workflow", F.col("node_id").alias("src")), ["workflow", "src"], "left_anti").transform(cut)
-        step += 1
+        rest = staged(left.join(first, ["workflow", "node_id"], "left_anti"), "left")
+        still = staged(live.join(first.select("workflow", F.col("node_id").alias("src")), ["workflow", "src"], "left_anti"), "live")
+        drop(left)
+        drop(live)
+        left, live, step = rest, still, step + 1
     return reduce(DataFrame.unionByName, done) if done else first
 
 

@@ -50,6 +50,30 @@ def test_max_with_odd_numbers(spark, values, value):
     assert got == value or (math.isnan(got) and math.isnan(value))
 
 
+@pytest.mark.parametrize(
+    ("values", "value"),
+    [(["9", None, "5", "3"], "5"), (["9", "x", "5", "3"], "5"), (["2", "NaN", "1"], "1"), (["1", "1.0"], "1"), (["007", "3"], "007"), (["5", None], None), (["3", "a"], "a"), (["2", "10", "9.5"], "10"), (["2.5", "2.50"], "2.5")],
+)
+def test_max_is_pairwise(spark, values, value):
+    assert C.fold(writes(spark, values), {"x": "MAX"}).first().value == value
+    assert C.fold(writes(spark, values[1:]), {"x": "MAX"}, state(spark, values[0])).first().value == value
+
+
+@pytest.mark.parametrize(
+    ("values", "value"),
+    [(['"a"', '"b"'], '"ab"'), (["[1]", "[2,3]"], "[1,2,3]"), (["[1]", '"x"'], '[1,"x"]'), (['"x"', "[1]"], '["x",1]'), (["1", "2"], "[1,2]"), (['"a"', None], '["a",null]'), ([None, '"a"', '"b"', "1"], '["ab",1]'), (['{"k":1}', '"a"'], '[{"k":1},"a"]'), (["[1]", "[]"], "[1]")],
+)
+def test_concat_of_typed_values(spark, values, value):
+    for kind in ("list", "json"):
+        assert C.fold(writes(spark, values), {"x": "CONCAT"}, types={"x": kind}).first().value == value
+    assert C.fold(writes(spark, values[1:]), {"x": "CONCAT"}, state(spark, values[0]), types={"x": "list"}).first().value == value
+
+
+def test_channel_without_reducer(spark):
+    with pytest.raises(ValueError, match="x"):
+        C.fold(writes(spark, ["a"]), {"x": None})
+
+
 def test_lists_stay_in_order(spark):
     assert writes(spark, ["a", None, "c"]).groupBy("run_id").agg(C.listed().alias("v")).first().v == ["a", None, "c"]
 
