@@ -4,20 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def parquet_sink(path: str) -> Callable[[int, DataFrame, DataFrame], None]:
-    """Keeps every layer's outputs and state under a folder, each layer once."""
+    """Keeps every layer's outputs and state under a folder, each layer once; a barrier only for runs that no node failed.
+
+    node_outputs has what `pending` and `Engine.run(done=...)` read: a success is COMPLETED, and output tells that there is one.
+    """
 
     def sink(step: int, outputs: DataFrame, state: DataFrame) -> None:
-        outputs.drop("channel_writes").write.mode("overwrite").parquet(f"{path}/node_outputs/super_step={step}")
+        told = outputs.withColumn("output", F.when(F.col("status") == "SUCCESS", F.coalesce("content", F.to_json("channel_writes"), F.lit(""))))
+        told = told.withColumn("status", F.when(F.col("status") == "SUCCESS", "COMPLETED").otherwise(F.col("status")))
+        told.drop("super_step").write.mode("overwrite").parquet(f"{path}/node_outputs/super_step={step}")
         state.write.mode("overwrite").parquet(f"{path}/state/super_step={step}")
+        barrier = outputs.groupBy("run_id").agg(F.count_if(F.col("status") == "FAILED").alias("failed")).where("failed = 0").select("run_id")
+        barrier.write.mode("overwrite").parquet(f"{path}/barriers/super_step={step}")
 
     return sink
 
 
+def completed(spark: SparkSession, path: str) -> DataFrame:
+    """The successes that a sink kept, for `Engine.run(done=...)`."""
+    return spark.read.parquet(f"{path}/node_outputs").where("status = 'COMPLETED'").withColumn("status", F.lit("SUCCESS"))
+
+
 def next_step(runs: DataFrame, barriers: DataFrame) -> DataFrame:
     """(run_id, next_step): one behind the last barrier, 0 without one."""
     last = barriers.groupBy("run_id").agg((F.max("super_step") + 1).alias("next_step"))

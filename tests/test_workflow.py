@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lamella.operators import traces as T
 from lamella.plans import recovery as R
-from lamella.plans.workflow import Engine, Registry, call_with_timeout, columns, mock, template, until_valid, with_retries
+from lamella.plans.workflow import Engine, Registry, Retry, TransientError, call_with_timeout, columns, mock, template, timeout_of, until_valid, with_retries
 from lamella.sources.definitions import WorkflowError, parse
 from lamella.streaming.state import keep_state
 
@@ -77,6 +77,92 @@ def test_retries(spark):
         with_retries(mock, 0)
 
 
+def test_a_flaky_node_is_called_once_an_attempt(spark):
+    """A node that fails at random, in Python workers: every run has one row, and no more attempts than allowed."""
+    def flaky(batches):
+        import random
+        for b in batches:
+            ok = [random.random() < 0.5 for _ in range(len(b))]
+            yield b[["run_id"]].assign(content=["ok" if x else None for x in ok], error_class=[None if x else "TransientException" for x in ok])
+
+    node = lambda c: c.runs.select("run_id").mapInPandas(flaky, "run_id string, content string, error_class string")
+    d = parse("nodes: [{id: n, agent: f}, {id: m, agent: ok}]\nedges: [{from: n, to: m}]")
+    for engine in (Engine(Registry({"f": node, "ok": columns(at("n"))}), retry=Retry(12, 0)), Engine(Registry({"f": with_retries(node, 12), "ok": columns(at("n"))}))):
+        result = engine.run(d, runs(spark, 200))
+        out = result.outputs.where("node_id = 'n'").collect()
+        assert len(out) == 200 and len({r.run_id for r in out}) == 200
+        good = {r.run_id for r in out if r.status == "SUCCESS"}
+        assert len(good) >= 195 and all(r.content == "ok" for r in out if r.status == "SUCCESS")
+        assert {r.run_id for r in result.outputs.where("node_id = 'm'").collect()} == good
+        assert {r.run_id for r in result.state.where("channel = 'm' AND value = 'ok'").collect()} == good
+
+
+def test_what_fails_is_a_row(spark):
+    """A node that raises, one that is late, one without rows and one with two: failures of their own, siblings go on."""
+    def slow(batches):
+        for b in batches:
+            time.sleep(30)
+            yield b
+
+    def raises(call):
+        raise TransientError("no answer") from ConnectionError("down")
+
+    bodies = {"raises": raises, "late": lambda c: c.runs.select("run_id").mapInPandas(slow, "run_id string"), "none": lambda c: c.runs.select("run_id").where("false"), "two": lambda c: c.runs.select("run_id").union(c.runs.select("run_id")), "fine": columns(F.lit("x"))}
+    d = parse("nodes: [{id: a, agent: raises}, {id: b, agent: late, timeout: 500ms}, {id: c, agent: none}, {id: d, agent: two}, {id: e, agent: fine}, {id: f, agent: fine}]\nedges: [{from: a, to: f}]")
+    began = time.monotonic()
+    result = Engine(Registry(bodies)).run(d, runs(spark, 2))
+    assert time.monotonic() - began < 25
+    got = {r.node_id: (r.status, r.error_class) for r in result.outputs.where("run_id = 'r0'").collect()}
+    assert got == {"a": ("FAILED", "TransientException"), "b": ("FAILED", "TimeoutException"), "c": ("FAILED", "FatalException"), "d": ("FAILED", "FatalException"), "e": ("SUCCESS", None)}
+    assert [(r.n, r.errors[0]) for r in result.failures.collect()] == [(4, "no answer")] * 2
+    assert values(result)["errorCause"] == "the node gave more than one output" and values(result)["e"] == "x"
+    assert all(r.ended_at >= r.started_at for r in result.outputs.collect())
+    with pytest.raises(TimeoutError):
+        Engine(Registry(bodies), total_ms=2500).run(parse("nodes: [{id: b, agent: late}]"), runs(spark))
+
+
+def test_handlers_wraps_and_retry_checks(spark):
+    seen = []
+    wrap = lambda name: lambda f: lambda c: (seen.append(name), f(c))[1]
+    fails = lambda c: c.runs.select("run_id", F.lit("FatalException").alias("error_class"), F.lit("bad").alias("error_message"))
+    d = parse("nodes: [{id: n, agent: f}]")
+    engine = Engine(Registry({"f": fails}), wraps=[wrap("outer"), wrap("inner")], handler=lambda cause: {"why": F.upper(cause)})
+    assert values(engine.run(d, runs(spark))) == {"why": "BAD"} and seen == ["outer", "inner"]
+    assert values(Engine(Registry({"f": fails}), handler=None).run(d, runs(spark))) == {}
+    for bad in ({"attempts": 0}, {"initial_ms": -1}, {"multiplier": 0.5}, {"transient": None}):
+        with pytest.raises(ValueError):
+            Retry(**bad)
+    assert [Retry(5, 100, 1.5).wait_ms(k) for k in (1, 2, 3)] == [100, 150, 225]
+    assert [timeout_of(x, 7) for x in ("120s", "2m", "500ms", "1h", "45", "abc", "0s", "-5s", "5.5s", " 7S ", None)] == [120000, 120000, 500, 3600000, 45000, 7, 7, 7, 7, 7000, 7]
+    with pytest.raises(WorkflowError):
+        Engine(Registry({"f": fails})).run(parse("nodes: [{id: n, agent: f}]\nedges: [{from: n, to: x}]"), runs(spark))
+
+
+def test_resume_from_what_the_sink_kept(spark, tmp_path):
+    calls = []
+    node = lambda c: (calls.append(c.runs.count()), c.runs.select("run_id", F.create_map(F.lit("x"), F.lit("v")).alias("channel_writes")))[1]
+    broken = lambda c: c.runs.select("run_id", F.when(F.col("run_id") == "r1", "c").alias("content"), F.when(F.col("run_id") == "r0", "FatalException").alias("error_class"))
+    d = parse("nodes: [{id: a, agent: n}, {id: b, agent: m}]\nedges: [{from: a, to: b}]")
+    Engine(Registry({"n": node, "m": broken}), sinks=[R.parquet_sink(str(tmp_path))]).run(d, runs(spark, 2))
+    planned = spark.createDataFrame([(r, s, n) for r in ("r0", "r1") for s, n in ((0, "a"), (1, "b"))], "run_id string, super_step int, node_id string")
+    left = R.pending(planned, spark.read.parquet(f"{tmp_path}/barriers"), spark.read.parquet(f"{tmp_path}/node_outputs"))
+    assert [(r.run_id, r.node_id) for r in left.collect()] == [("r0", "b")]
+    again = Engine(Registry({"n": node, "m": columns(F.concat(at("x"), F.lit("!")))})).run(d, runs(spark, 2), R.completed(spark, str(tmp_path)))
+    assert calls == [2, 0]
+    assert values(again) == {"x": "v", "b": "v!"} and values(again, "r1") == {"x": "v", "b": "c"}
+    assert {r.attempts for r in again.outputs.where("node_id = 'a'").collect()} == {0}
+
+
+def test_feedback_reaches_the_next_call(spark):
+    def node(c):
+        again = "feedback" in c.runs.columns
+        return c.runs.select("run_id", (F.col("feedback")[0] if again else F.lit("bad")).alias("content"), F.lit(3).cast("bigint").alias("prompt_tokens"))
+
+    f = until_valid(node, lambda c: c == "good", errors=lambda c: F.array(F.lit("good")))
+    row = Engine(Registry({"f": f})).run(parse("nodes: [{id: n, agent: f}]"), runs(spark)).outputs.first()
+    assert (row.content, row.status, row.prompt_tokens) == ("good", "SUCCESS", 6)
+
+
 def test_until_valid(spark):
     answers = iter(["bad", "good", "good"])
     f = until_valid(lambda c: c.runs.select("run_id", F.lit(next(answers)).alias("content")), lambda c: c == "good")
