@@ -28,6 +28,15 @@ def backoff_ms(attempt: Column, initial_ms: int = 1000, multiplier: float = 2.0)
     return F.floor(F.lit(initial_ms) * F.pow(F.lit(multiplier), attempt - 1)).cast("bigint")
 
 
+def duration_ms(started: Column, ended: Column, now: Column) -> Column:
+    """From start to end, or to now where there is no end yet."""
+    return F.unix_millis(F.coalesce(ended, now)) - F.unix_millis(started)
+
+
+def workflow_exceeded(elapsed_ms: Column, total_ms: int | None) -> Column:
+    return F.lit(False) if total_ms is None else elapsed_ms >= total_ms
+
+
 def remaining_ms(elapsed_ms: Column, total_ms: int | None) -> Column:
     """Null without a total; never negative."""
     return F.lit(None).cast("bigint") if total_ms is None else F.greatest(F.lit(0).cast("bigint"), F.lit(total_ms) - elapsed_ms)
@@ -55,38 +64,56 @@ def json_text(text: Column) -> Column:
 
 
 KNOWN = {"$schema", "title", "description", "type", "properties", "required", "enum", "minimum", "maximum", "items"}
-TYPES = {"string": "STRING", "boolean": "BOOLEAN", "object": "OBJECT%", "array": "ARRAY%", "integer": "BIGINT", "null": "VOID"}
+TYPES = {"string": "STRING", "boolean": "BOOLEAN", "object": "OBJECT%", "array": "ARRAY%", "null": "VOID"}
+
+
+def json_errors(text: Column, schema: dict[str, Any]) -> Column:
+    """What is wrong with JSON text under a schema of the keywords in KNOWN, in the order of the schema; others raise."""
+    v = F.try_parse_json(text)
+    return F.when(v.isNull(), F.array(F.lit("not JSON"))).otherwise(F.array_compact(F.array(F.lit(None).cast("string"), *faults(v, schema, "$"))))
 
 
 def json_valid(text: Column, schema: dict[str, Any]) -> Column:
-    """Whether JSON text meets a schema of the keywords in KNOWN; others raise. Text that isn't JSON is invalid."""
+    """Whether JSON text meets a schema. Text that isn't JSON is invalid."""
+    return F.size(json_errors(text, schema)) == 0
+
+
+def json_map(text: Column) -> Column:
+    """A JSON object as a map of texts; null for anything else."""
     v = F.try_parse_json(text)
-    return F.coalesce(v.isNotNull() & meets(v, "$", schema), F.lit(False))
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$", "map<string,string>"))
 
 
-def meets(v: Column, path: str, schema: dict[str, Any]) -> Column:
+def faults(v: Column, schema: dict[str, Any], where: str) -> list[Column]:
+    """Messages about one value, null where all is well."""
     if more := set(schema) - KNOWN:
         raise ValueError(f"schema keywords {sorted(more)} aren't supported")
-    if "items" in schema:
-        raise ValueError("items is only checked as an array") if schema["items"] else None
-    here = F.try_variant_get(v, path, "variant")
-    kind = F.schema_of_variant(here)
-    number = F.try_variant_get(v, path, "double")
+    kind, number = F.coalesce(F.schema_of_variant(v), F.lit("MISSING")), F.try_variant_get(v, "$", "double")
     numeric = kind.rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-    ok = F.lit(True)
+    out = []
+
+    def rule(ok: Column, message: str) -> None:
+        out.append(F.when(~F.coalesce(ok, F.lit(False)), F.lit(f"{where}: {message}")))
+
     if t := schema.get("type"):
-        ok &= numeric if t == "number" else kind.like(TYPES[t])
+        rule({"number": numeric, "integer": numeric & (number == F.floor(number))}.get(t, kind.like(TYPES.get(t, t))), f"{t} expected")
     if "enum" in schema:
-        ok &= F.to_json(here).isin(*(json.dumps(x) for x in schema["enum"]))
+        rule(F.to_json(v).isin(*(json.dumps(x) for x in schema["enum"])), "not in the enumeration")
     if "minimum" in schema:
-        ok &= ~numeric | (number >= schema["minimum"])
+        rule(~numeric | (number >= schema["minimum"]), f"must be at least {schema['minimum']}")
     if "maximum" in schema:
-        ok &= ~numeric | (number <= schema["maximum"])
+        rule(~numeric | (number <= schema["maximum"]), f"must be at most {schema['maximum']}")
+    child = lambda name: F.try_variant_get(v, f"$['{name}']", "variant")
+    is_object = kind.startswith("OBJECT")
     for name in schema.get("required", ()):
-        ok &= F.try_variant_get(v, f"{path}.{name}", "variant").isNotNull()
+        rule(~is_object | child(name).isNotNull(), f"required property {name} is missing")
     for name, inner in schema.get("properties", {}).items():
-        ok &= F.try_variant_get(v, f"{path}.{name}", "variant").isNull() | meets(v, f"{path}.{name}", inner)
-    return F.coalesce(ok, F.lit(False))
+        out += [F.when(child(name).isNotNull(), c) for c in faults(child(name), inner, f"{where}.{name}")]
+    if inner := schema.get("items"):
+        items = F.try_variant_get(v, "$", "array<variant>")
+        wrong = F.exists(items, lambda x: F.size(F.array_compact(F.array(F.lit(None).cast("string"), *faults(x, inner, "item")))) > 0)
+        rule(~kind.startswith("ARRAY") | ~wrong, "an item doesn't meet the schema")
+    return out
 
 
 def retry_prompt(original: Column, schema: dict[str, Any], errors: Column) -> Column:

@@ -1,4 +1,5 @@
-"""Prompt templates as columns. `${...}` holds a path into `context` or `inputs`, a literal, `a ?: b`, or `a op b ? c : d`.
+"""Prompt templates as columns. `${...}` holds a path into `context` or `inputs`, a literal, `a ?: b`, or `test ? c : d`,
+where a test is comparisons joined by `and`, `or` and `not`.
 
 A template is read once on the driver and becomes a concat of columns, so nothing is parsed per row. Anything that
 isn't one of those forms (calls, constructors, type references) is refused before anything runs.
@@ -6,6 +7,7 @@ isn't one of those forms (calls, constructors, type references) is refused befor
 
 from __future__ import annotations
 
+import functools
 import operator
 import re
 from collections.abc import Callable
@@ -38,19 +40,40 @@ def term(text: str, missing: list[Column]) -> Column:
     raise TemplateError(f"not allowed in a template: {text.strip()!r}")
 
 
+def test_of(text: str, missing: list[Column]) -> Column:
+    """Comparisons joined by and, or and not; null equals null only. Texts that are both numbers compare as numbers."""
+    for word, how in ((r"\s+or\s+|\s*\|\|\s*", operator.or_), (r"\s+and\s+|\s*&&\s*", operator.and_)):
+        parts = re.split(word, text.strip())
+        if len(parts) > 1:
+            return functools.reduce(how, (test_of(p, missing) for p in parts))
+    if m := re.match(r"\s*(?:!|not\s+)(?!=)(.+)\Z", text, re.S):
+        return ~test_of(m[1], missing)
+    c = COMPARED.match(text.strip())
+    if not c:
+        if re.match(r"\s*(context|inputs|true|false)\b", text):
+            return F.coalesce(term(text, missing) == "true", F.lit(False))
+        raise TemplateError(f"not a comparison: {text.strip()!r}")
+    a, b = term(c[1], missing), term(c[3], missing)
+    x, y = a.try_cast("double"), b.try_cast("double")
+    both = F.when(x.isNotNull() & y.isNotNull(), OPERATORS[c[2]](x, y)).otherwise(OPERATORS[c[2]](a, b))
+    none = F.lit({"==": True, "!=": False}.get(c[2], False)) if c[2] in ("==", "!=") else F.lit(False)
+    return F.when(a.isNull() & b.isNull(), none).when(a.isNull() | b.isNull(), F.lit(c[2] == "!=")).otherwise(both)
+
+
 def expression(text: str, missing: list[Column]) -> Column:
+    """A key that is missing in the branch that isn't taken does no harm."""
     if "?:" in text:
         first, other = text.split("?:", 1)
         value = term(first, [])
         return F.when(F.coalesce(value, F.lit("")) != "", value).otherwise(expression(other, missing))
-    if m := re.match(r"(.+?)\?(?!\.)(.+?):(.+)\Z", text, re.S):
-        c = COMPARED.match(m[1].strip())
-        if not c:
-            raise TemplateError(f"not a comparison: {m[1].strip()!r}")
-        a, b = term(c[1], missing), term(c[3], missing)
-        x, y = a.try_cast("double"), b.try_cast("double")
-        test = F.when(x.isNotNull() & y.isNotNull(), OPERATORS[c[2]](x, y)).otherwise(OPERATORS[c[2]](a, b))
-        return F.when(F.coalesce(test, F.lit(False)), term(m[2], missing)).otherwise(term(m[3], missing))
+    if m := re.match(r"(.+?)\?(?!\.)((?:'[^']*'|[^:'])+):(.+)\Z", text, re.S):
+        test = F.coalesce(test_of(m[1], missing), F.lit(False))
+        branches = []
+        for branch, taken in ((m[2], test), (m[3], ~test)):
+            gone: list[Column] = []
+            branches.append(term(branch, gone))
+            missing += [taken & F.coalesce(g, F.lit(True)) for g in gone]
+        return F.when(test, branches[0]).otherwise(branches[1])
     return term(text, missing)
 
 

@@ -12,6 +12,7 @@ import pandas as pd
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 REDUCERS = ("OVERWRITE", "CONCAT", "MAX", "CUSTOM")
 NODES = "workflow string, version string, node_ord int, node_id string, agent string, prompt_template string, tools array<string>, timeout string, retry struct<max_attempts: int, initial_backoff: string>, output_schema string, mock_response string"
@@ -57,10 +58,16 @@ def parse(text: str, name: str = "workflow", head: str = "workflow") -> Definiti
         raise WorkflowError("the top level must be a mapping")
     strict(doc, {head, "channels", "nodes", "edges"}, "the top level")
     nodes = []
-    for n in doc.get("nodes") or []:
-        strict(n, {"id", "agent", "prompt_template", "tools", "timeout", "retry", "output_schema", "mock_response"}, f"node {n.get('id')}")
-        nodes.append(Node(**{k: v for k, v in n.items() if v is not None or k == "id"} | {"id": n.get("id")}))
+    for n in sequence(doc, "nodes"):
+        strict(n, {"id", "agent", "prompt_template", "tools", "timeout", "retry", "output_schema", "mock_response"}, f"node {n.get('id') if isinstance(n, dict) else n}")
+        for key, kind in (("tools", list), ("retry", dict), ("output_schema", dict)):
+            if not isinstance(n.get(key) if n.get(key) is not None else kind(), kind):
+                raise WorkflowError(f"node {n.get('id')}: {key} has the wrong shape")
+        plain = {k: as_text(n[k]) for k in ("agent", "prompt_template", "timeout", "mock_response") if n.get(k) is not None}
+        nodes.append(Node(as_text(n.get("id")), **plain, **{k: n[k] for k in ("tools", "retry", "output_schema") if n.get(k) is not None}))
     reducers, types = {}, {}
+    if not isinstance(doc.get("channels") or {}, dict):
+        raise WorkflowError("channels must be a mapping")
     for channel, c in (doc.get("channels") or {}).items():
         c = c or {}
         strict(c, {"type", "reducer"}, f"channel {channel}")
@@ -68,11 +75,30 @@ def parse(text: str, name: str = "workflow", head: str = "workflow") -> Definiti
         if reducer is not None and str(reducer).upper() not in REDUCERS:
             raise WorkflowError(f"channel {channel}: unknown reducer {reducer}")
         reducers[channel], types[channel] = reducer and str(reducer).upper(), c.get("type")
-    edges = [(e.get("from"), e.get("to")) for e in doc.get("edges") or []]
+    edges = []
+    for e in sequence(doc, "edges"):
+        strict(e, {"from", "to"}, f"edge {e}")
+        edges.append((as_text(e.get("from")), as_text(e.get("to"))))
+    if not isinstance(doc.get(head) or {}, dict):
+        raise WorkflowError(f"{head} must be a mapping")
     version = str((doc.get(head) or {}).get("version") or "").strip() or "1.0"
     return Definition(nodes, edges, reducers, types, version, name)
 
 
+def sequence(doc: dict, key: str) -> list:
+    found = doc.get(key)
+    if found is not None and not isinstance(found, list):
+        raise WorkflowError(f"{key} must be a list")
+    return found or []
+
+
+def as_text(v: Any) -> str | None:
+    """A scalar as text, as YAML may read an id as a number."""
+    if isinstance(v, (dict, list)):
+        raise WorkflowError(f"{v} must be a scalar")
+    return None if v is None else str(v)
+
+
 def strict(found: Any, known: set[str], where: str) -> None:
     if not isinstance(found, dict):
         raise WorkflowError(f"{where} must be a mapping")
@@ -85,16 +111,34 @@ def node_rows(d: Definition) -> list[tuple]:
     return [(d.name, d.version, i, n.id, n.agent, n.prompt_template, n.tools, n.timeout, retry(n.retry), json.dumps(n.output_schema) if n.output_schema else None, n.mock_response) for i, n in enumerate(d.nodes)]
 
 
+def edge_rows(d: Definition) -> list[tuple]:
+    return [(d.name, d.version, i, a, b) for i, (a, b) in enumerate(d.edges)]
+
+
+def channel_rows(d: Definition) -> list[tuple]:
+    return [(d.name, d.version, c, d.types.get(c), r) for c, r in d.reducers.items()]
+
+
 def tables(spark: SparkSession, *definitions: Definition) -> dict[str, DataFrame]:
     """nodes, edges and channels of definitions as DataFrames."""
-    nodes = [r for d in definitions for r in node_rows(d)]
-    edges = [(d.name, d.version, i, a, b) for d in definitions for i, (a, b) in enumerate(d.edges)]
-    channels = [(d.name, d.version, c, d.types.get(c), r) for d in definitions for c, r in d.reducers.items()]
-    return {"nodes": spark.createDataFrame(nodes, NODES), "edges": spark.createDataFrame(edges, EDGES), "channels": spark.createDataFrame(channels, CHANNELS)}
+    return {kind: spark.createDataFrame([r for d in definitions for r in rows(d)], schema) for kind, (rows, schema) in MADE.items()}
+
+
+MADE = {"nodes": (node_rows, NODES), "edges": (edge_rows, EDGES), "channels": (channel_rows, CHANNELS)}
+
+
+def named(names: list[str], row: tuple) -> dict[str, Any]:
+    """A row by its names."""
+    found = dict(zip(names, row, strict=True))
+    if found.get("retry"):
+        found["retry"] = dict(zip(("max_attempts", "initial_backoff"), found["retry"], strict=True))
+    return found
 
 
 def scan(spark: SparkSession, path: str, head: str = "workflow") -> dict[str, DataFrame]:
-    """nodes and edges of all YAML files under a path; a file that can't be read gives a row in errors."""
+    """nodes, edges and channels of all YAML files under a path, with all fields; a file that can't be read gives a row in errors."""
+
+    names = {kind: StructType.fromDDL(schema).names for kind, (_, schema) in MADE.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -102,16 +146,13 @@ def scan(spark: SparkSession, path: str, head: str = "workflow") -> dict[str, Da
             for name, text in zip(b["file"], b["value"], strict=True):
                 try:
                     d = parse(text, name, head)
-                    rows += [("node", name, d.version, i, n.id, n.agent, None, None, None) for i, n in enumerate(d.nodes)]
-                    rows += [("edge", name, d.version, i, None, None, a, z, None) for i, (a, z) in enumerate(d.edges)]
+                    found = [(kind, named(names[kind], r)) for kind, (made, _) in MADE.items() for r in made(d)]
                 except WorkflowError as e:
-                    rows.append(("error", name, None, 0, None, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["kind", "workflow", "version", "ord", "node_id", "agent", "src", "dst", "error"])
-
-    found = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-    rows = found.mapInPandas(run, "kind string, workflow string, version string, ord int, node_id string, agent string, src string, dst string, error string")
-    return {
-        "nodes": rows.where("kind = 'node'").select("workflow", "version", F.col("ord").alias("node_ord"), "node_id", "agent"),
-        "edges": rows.where("kind = 'edge'").select("workflow", "version", F.col("ord").alias("edge_ord"), "src", "dst"),
-        "errors": rows.where("kind = 'error'").select("workflow", "error"),
-    }
+                    found = [("errors", {"workflow": name, "error": str(e)})]
+                rows += [(kind, json.dumps(r)) for kind, r in found]
+            yield pd.DataFrame(rows, columns=["kind", "row"])
+
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
+    rows = files.mapInPandas(run, "kind string, row string")
+    schemas = {kind: schema for kind, (_, schema) in MADE.items()} | {"errors": "workflow string, error string"}
+    return {kind: rows.where(F.col("kind") == kind).select(F.from_json("row", schema).alias("r")).select("r.*") for kind, schema in schemas.items()}

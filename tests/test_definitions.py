@@ -53,6 +53,22 @@ def test_faults(text, said):
         check(parse(text))
 
 
+@pytest.mark.parametrize("text", ["nodes: 5", "nodes: [x]", "nodes: [[1]]", "edges: {a: b}", "nodes: [{id: A}]\nedges: [A]", "nodes: [{id: A}, {id: B}]\nedges: [{from: A, to: B, x: 1}]", "channels: [a]", "channels: {c: 3}", "workflow: 7", "nodes: [{id: [1]}]", "nodes: [{id: A, tools: x}]", "nodes: [{id: A, retry: 3}]", "- a"])
+def test_wrong_shapes(text):
+    with pytest.raises(WorkflowError):
+        parse(text)
+
+
+def test_scan_has_all_fields(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text(FULL)
+    (tmp_path / "b.yaml").write_text("nodes: [x]")
+    found = scan(spark, str(tmp_path))
+    row, want = found["nodes"].first(), tables(spark, parse(FULL))["nodes"].first()
+    assert {k: v for k, v in row.asDict().items() if k != "workflow"} == {k: v for k, v in want.asDict().items() if k != "workflow"}
+    assert {(r.channel, r.type, r.reducer) for r in found["channels"].collect()} == {("risk", "string", "MAX"), ("log", None, "CONCAT")}
+    assert found["errors"].count() == 1
+
+
 def test_full_definition(spark):
     d = parse(FULL)
     assert (d.version, d.reducers, parse("nodes: [{id: a}]").version) == ("2.1", {"risk": "MAX", "log": "CONCAT"}, "1.0")

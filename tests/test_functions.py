@@ -74,3 +74,34 @@ def test_backoff_and_rest(spark):
     assert one(spark, S.remaining_ms(F.lit(5000), 2000), s="") == 0
     assert one(spark, S.remaining_ms(F.lit(5000), None), s="") is None
     assert one(spark, S.redacted(F.col("s")), s="secret sk-12345") == "secret sk-***"
+
+
+@pytest.mark.parametrize(
+    ("template", "text"),
+    [
+        ("${context.a == null ? 'none' : 'some'}", "some"),
+        ("${context.n == null ? 'none' : 'some'}", "none"),
+        ("${context.n != null ? 'some' : 'none'}", "none"),
+        ("${context.a == '1' and inputs.b == '3' ? 'x' : 'y'}", "y"),
+        ("${context.a == '1' or inputs.b == '3' ? 'x' : 'y'}", "x"),
+        ("${not context.a == '1' ? 'x' : 'y'}", "y"),
+        ("${context.a > 0 ? 'a:b' : 'c'}", "a:b"),
+    ],
+)
+def test_tests_in_templates(spark, template, text):
+    found, gone = resolve(template)
+    values = {"context": {"a": "1", "n": None}, "inputs": {"b": "2"}}
+    assert (one(spark, found, **values), one(spark, gone, **values)) == (text, False)
+
+
+def test_missing_keys_count_where_they_are_read(spark):
+    values = {"context": {"a": "1"}, "inputs": {"b": "2"}}
+    assert one(spark, resolve("${context.a == '1' ? 'x' : context.gone}")[1], **values) is False
+    assert one(spark, resolve("${context.a == '2' ? 'x' : context.gone}")[1], **values) is True
+
+
+def test_json_errors(spark):
+    schema = {"type": "object", "required": ["k", "m"], "properties": {"k": {"type": "integer", "minimum": 3}, "l": {"type": "array", "items": {"type": "string"}}}}
+    for text, wrong in (('{"k":5.0,"m":1}', []), ('{"k":1.5}', ["$: required property m is missing", "$.k: integer expected", "$.k: must be at least 3"]), ("x", ["not JSON"]), ("[1]", ["$: object expected"]), ('{"k":4,"m":1,"l":["a",2]}', ["$.l: an item doesn't meet the schema"])):
+        assert one(spark, S.json_errors(F.col("s"), schema), s=text) == wrong
+    assert one(spark, S.json_map(F.col("s")), s='{"a":1,"b":"x"}') == {"a": "1", "b": "x"} and one(spark, S.json_map(F.col("s")), s="[1]") is None
