@@ -30,7 +30,7 @@ def backoff_ms(attempt: Column, initial_ms: int = 1000, multiplier: float = 2.0)
 
 def duration_ms(started: Column, ended: Column, now: Column) -> Column:
     """From start to end, or to now where there is no end yet."""
-    return F.unix_millis(F.coalesce(ended, now)) - F.unix_millis(started)
+    return F.unix_millis(F.coalesce(ended, now).cast("timestamp")) - F.unix_millis(started.cast("timestamp"))
 
 
 def workflow_exceeded(elapsed_ms: Column, total_ms: int | None) -> Column:

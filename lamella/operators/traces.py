@@ -61,3 +61,29 @@ def diagnosis(traces: DataFrame, times: int = 2, most_tokens: int = 100_000) ->
     )
     rules = {"repeated timeouts": F.col("timeouts") >= times, "many tokens": F.col("tokens") > most_tokens, "expression failed": F.col("templates") > 0, "channel missing": F.col("missing") > 0, "repeated execution": F.col("n") > times}
     return reduce(DataFrame.unionByName, (where.where(c).select("run_id", F.lit(name).alias("finding"), "node_id") for name, c in rules.items()))
+
+
+def costs(traces: DataFrame, prices: DataFrame, budget: float) -> DataFrame:
+    """Per run: cost at prices (model, prompt_price, completion_price: for 1000 tokens) and whether it is over the budget.
+
+    Models without a price cost nothing.
+    """
+    one = (F.coalesce("prompt_tokens", F.lit(0)) * F.coalesce("prompt_price", F.lit(0.0)) + F.coalesce("completion_tokens", F.lit(0)) * F.coalesce("completion_price", F.lit(0.0))) / 1000
+    cost = traces.join(prices, "model", "left").groupBy("run_id").agg(F.sum(one).alias("cost"))
+    return cost.withColumn("over_budget", F.col("cost") > budget)
+
+
+def top_tokens(traces: DataFrame, n: int = 10) -> DataFrame:
+    """The n nodes with the most tokens; equal ones by name."""
+    return traces.groupBy("node_id").agg(F.sum(tokens()).cast("bigint").alias("tokens")).orderBy(F.desc("tokens"), "node_id").limit(n)
+
+
+def forbidden_tools(used: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Of the tools that nodes name (node_id, tool) those that aren't allowed (node_id, tool)."""
+    return used.join(allowed, ["node_id", "tool"], "left_anti").distinct()
+
+
+def version_conflicts(wanted: DataFrame, stored: DataFrame) -> DataFrame:
+    """Runs (run_id, workflow, version) whose version isn't the stored one (workflow, version), which may be missing."""
+    kept = stored.select("workflow", F.col("version").alias("stored_version"))
+    return wanted.join(kept, "workflow", "left").where(~F.col("version").eqNullSafe(F.col("stored_version")))

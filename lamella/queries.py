@@ -13,7 +13,7 @@ from lamella.operators import channels as C
 from lamella.operators import graph as G
 from lamella.operators import traces as T
 from lamella.plans import recovery as R
-from lamella.plans.workflow import Engine, Registry, columns
+from lamella.plans.workflow import Engine, Registry, Retry, columns, template, until_valid
 from lamella.sources.definitions import Definition, Node
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -337,3 +337,208 @@ def recovery_pending(spark: SparkSession, d: str) -> DataFrame:
 def node_output_upsert(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "events").withColumn("status", F.when(F.col("value") > 50, "COMPLETED").otherwise("RUNNING"))
     return R.settled(o, ("user_id", "event_type"), "event_id").select("user_id", "event_type", "event_id", "status")
+
+
+def user_runs(spark: SparkSession, d: str) -> DataFrame:
+    """A run for each user, without inputs."""
+    users = read(spark, d, "events").select(F.col("user_id").cast("string").alias("run_id")).distinct()
+    return users.select("run_id", F.lit(None).cast("string").alias("channel"), F.lit(None).cast("string").alias("value"))
+
+
+def in_context(channel: str) -> F.Column:
+    return F.try_element_at("context", F.lit(channel))
+
+
+@query("""WITH n AS (SELECT user_id, count(*) FILTER (event_type='error') AS e, count(*) FILTER (event_type='purchase') AS p, arg_max_null(event_type, event_id) AS l FROM events GROUP BY 1)
+  SELECT CAST(user_id AS VARCHAR) AS run_id, unnest(['errors','purchases','last','rating']) AS channel,
+  unnest([CAST(e AS VARCHAR), CAST(p AS VARCHAR), l, CASE WHEN e >= 15 THEN 'HIGH' WHEN p < 5 THEN 'MEDIUM' ELSE 'LOW' END]) AS value FROM n""")
+def fork_join_engine(spark: SparkSession, d: str) -> DataFrame:
+    """The engine: three nodes fork over a user's events, a fourth joins their channels."""
+    e = read(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("run_id")).agg(F.count_if(F.col("event_type") == "error").cast("string").alias("errors"), F.count_if(F.col("event_type") == "purchase").cast("string").alias("purchases"), F.max_by("event_type", "event_id").alias("last"))
+    own = lambda c: lambda call: call.runs.join(e, "run_id").select("run_id", F.col(c).alias("content"))
+    rating = F.when(in_context("errors").cast("bigint") >= 15, "HIGH").when(in_context("purchases").cast("bigint") < 5, "MEDIUM").otherwise("LOW")
+    names = ("errors", "purchases", "last")
+    w = Definition([*(Node(c, c) for c in names), Node("rating", "rate")], [(c, "rating") for c in names])
+    return Engine(Registry({**{c: own(c) for c in names}, "rate": columns(rating)})).run(w, user_runs(spark, d)).state.select("run_id", "channel", "value")
+
+
+@query("""WITH u AS (SELECT DISTINCT user_id, user_id % 5 AS need FROM events)
+  SELECT CAST(user_id AS VARCHAR) AS run_id, CAST(least(need + 1, 3) AS INTEGER) AS attempts, CASE WHEN need < 3 THEN 'SUCCESS' ELSE 'FAILED' END AS status,
+  CASE WHEN need < 3 THEN 'ok' END AS content, CASE WHEN need >= 3 THEN 'TransientException' END AS error_class FROM u""")
+def retry_engine(spark: SparkSession, d: str) -> DataFrame:
+    """A node that is well again after some attempts, a number that depends on the run; three attempts at most."""
+    calls = []
+
+    def node(call):
+        calls.append(1)
+        ok = F.col("run_id").cast("bigint") % 5 < len(calls)
+        return call.runs.select("run_id", F.when(ok, "ok").alias("content"), F.when(~ok, "TransientException").alias("error_class"))
+
+    out = Engine(Registry({"n": node}), retry=Retry(3, 0)).run(Definition([Node("n", "n")], []), user_runs(spark, d)).outputs
+    return out.select("run_id", "attempts", "status", "content", "error_class")
+
+
+@query("""WITH n AS (SELECT user_id, count(*) FILTER (event_type='error') >= 15 AS bad FROM events GROUP BY 1)
+  SELECT CAST(user_id AS VARCHAR) AS run_id, unnest(CASE WHEN bad THEN ['b','errorCause','errorHandled'] ELSE ['a','b','c'] END) AS channel,
+  unnest(CASE WHEN bad THEN ['fine','many errors','true'] ELSE ['ok','fine','end'] END) AS value, CASE WHEN bad THEN 'FAILED' ELSE 'SUCCESS' END AS status FROM n""")
+def abort_engine(spark: SparkSession, d: str) -> DataFrame:
+    """A node fails for some runs: its sibling's write stays, the failure is told, the next layer doesn't run."""
+    e = read(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("run_id")).agg((F.count_if(F.col("event_type") == "error") >= 15).alias("bad"))
+    node = lambda call: call.runs.join(e, "run_id").select("run_id", F.when(~F.col("bad"), "ok").alias("content"), F.when(F.col("bad"), "FatalException").alias("error_class"), F.when(F.col("bad"), "many errors").alias("error_message"))
+    w = Definition([Node("a", "a"), Node("b", "b"), Node("c", "c")], [("a", "c"), ("b", "c")])
+    engine = Engine(Registry({"a": node, "b": columns(F.lit("fine")), "c": columns(F.lit("end"))}))
+    return engine.run(w, user_runs(spark, d)).state.select("run_id", "channel", "value", "status")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS run_id, CAST(0 AS INTEGER) AS super_step, CAST(2 AS BIGINT) AS n, '["no output of a","b is down"]' AS errors FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 0)
+  UNION ALL SELECT CAST(user_id AS VARCHAR), 0, 1, '["b is down"]' FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 1)""")
+def failure_list(spark: SparkSession, d: str) -> DataFrame:
+    """All failures of a layer, in the order of declaration; one node raises, for all runs."""
+    odd = F.col("run_id").cast("bigint") % 2 == 1
+
+    def down(call):
+        raise ValueError("b is down")
+
+    node = lambda call: call.runs.select("run_id", F.when(odd, "x").alias("content"), F.when(~odd, "FatalException").alias("error_class"), F.lit("no output of a").alias("error_message"))
+    failures = Engine(Registry({"a": node, "b": down})).run(Definition([Node("a", "a"), Node("b", "b")], []), user_runs(spark, d)).failures
+    return failures.select("run_id", "super_step", "n", F.to_json("errors").alias("errors"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS run_id, 'Dear ' || c_name || ' of ' || c_mktsegment AS letter, 1 AS shown FROM customer""")
+def workflow_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Inputs of a run reach a template; a second node reads what the first wrote."""
+    c = read(spark, d, "customer")
+    given = c.select(F.col("c_custkey").cast("string").alias("run_id"), F.explode(F.create_map(F.lit("name"), "c_name", F.lit("segment"), "c_mktsegment")).alias("channel", "value"))
+    w = Definition([Node("greeting", "t", "Dear ${inputs.name}"), Node("letter", "t", "${context.greeting} of ${inputs.segment}")], [("greeting", "letter")])
+    state = Engine(Registry({"t": template})).run(w, given).state
+    return state.where("channel = 'letter'").select("run_id", F.col("value").alias("letter"), F.lit(1).alias("shown"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS run_id, CASE WHEN k < 3 THEN 'SUCCESS' ELSE 'FAILED' END AS status, CASE WHEN k < 3 THEN '{"k":' || k || '}' END AS content, CAST(30 AS BIGINT) AS prompt_tokens
+  FROM (SELECT DISTINCT user_id, user_id % 4 AS k FROM events)""")
+def regenerate_loop(spark: SparkSession, d: str) -> DataFrame:
+    """Answers that don't meet the schema are asked for again with what was wrong, two more times; tokens are those of all calls."""
+    schema = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "maximum": 2}}}
+
+    def node(call):
+        k = F.col("run_id").cast("bigint") % 4
+        told = F.array_join("feedback", ";") if "feedback" in call.runs.columns else F.lit("")
+        answer = F.when(F.length(told) == 0, "none").when(told.contains("not JSON"), "{}").otherwise(F.concat(F.lit('{"k":'), k, F.lit("}")))
+        return call.runs.select("run_id", answer.alias("content"), F.lit(10).cast("bigint").alias("prompt_tokens"))
+
+    f = until_valid(node, lambda c: S.json_valid(c, schema), errors=lambda c: S.json_errors(c, schema))
+    return Engine(Registry({"n": f})).run(Definition([Node("n", "n")], []), user_runs(spark, d)).outputs.select("run_id", "status", "content", "prompt_tokens")
+
+
+@query("""WITH w AS (SELECT user_id, event_type, event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'x' ELSE CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) AS VARCHAR) END AS v FROM events),
+  o AS (SELECT *, max(CASE WHEN TRY_CAST(v AS BIGINT) IS NULL THEN event_id END) OVER (PARTITION BY user_id, event_type) AS odd FROM w)
+  SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS channel, CASE WHEN count(*) FILTER (odd IS NULL OR event_id > odd) = 0 THEN arg_max_null(v, event_id)
+  ELSE CAST(max(CAST(CASE WHEN odd IS NULL OR event_id > odd THEN v END AS BIGINT)) AS VARCHAR) END AS value FROM o GROUP BY 1, 2""")
+def reducer_max_odd(spark: SparkSession, d: str) -> DataFrame:
+    """MAX in the engine's fold, with nulls and text between the numbers."""
+    k = F.get_json_object("props", "$.k")
+    e = read(spark, d, "events").withColumn("v", F.when(F.col("event_id") % 7 == 0, None).when(F.col("event_id") % 11 == 0, "x").otherwise(k))
+    w = e.select(F.col("user_id").cast("string").alias("run_id"), F.lit(0).alias("super_step"), F.lit(0).alias("node_ord"), F.col("event_id").alias("write_ord"), F.col("event_type").alias("channel"), F.col("v").alias("value"))
+    return C.fold(w, dict.fromkeys(("view", "click", "purchase", "signup", "error"), "MAX")).select("run_id", "channel", "value")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS run_id, '[' || string_agg(CASE WHEN event_id % 3 = 0 THEN event_id || ',' || event_id + 1 ELSE '"' || event_type || '"' END, ',' ORDER BY event_id) || ']' AS value
+  FROM (SELECT -1 AS event_id, user_id, 'start' AS event_type FROM events GROUP BY 2 UNION ALL SELECT event_id, user_id, event_type FROM events) t WHERE event_id >= 0 GROUP BY 1""")
+def reducer_concat_typed(spark: SparkSession, d: str) -> DataFrame:
+    """CONCAT of lists and scalars into one flat list, begun as an empty list."""
+    e = read(spark, d, "events")
+    v = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("["), "event_id", F.lit(","), F.col("event_id") + 1, F.lit("]"))).otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
+    w = e.select(F.col("user_id").cast("string").alias("run_id"), F.lit(0).alias("super_step"), F.lit(0).alias("node_ord"), F.col("event_id").alias("write_ord"), F.lit("log").alias("channel"), v.alias("value"))
+    before = w.select("run_id", "channel").distinct().select("run_id", "channel", F.lit("[]").alias("value"), F.lit(0).cast("long").alias("version"))
+    return C.fold(w, {"log": "CONCAT"}, before, types={"log": "list"}).select("run_id", "value")
+
+
+@query("""SELECT n_name AS node_id, CAST(to_json([r_name]) AS VARCHAR) AS predecessors FROM region JOIN nation ON r_regionkey=n_regionkey""")
+def predecessor_lists(spark: SparkSession, d: str) -> DataFrame:
+    r, n = read(spark, d, "region"), read(spark, d, "nation")
+    edges = r.join(n, F.col("r_regionkey") == F.col("n_regionkey")).select(F.lit("w").alias("workflow"), F.col("n_nationkey").alias("edge_ord"), F.col("r_name").alias("src"), F.col("n_name").alias("dst"))
+    return G.predecessors(n.select(F.lit("w").alias("workflow"), F.col("n_name").alias("node_id")), edges).select("node_id", F.to_json("predecessors").alias("predecessors"))
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS workflow, CAST(turn AS VARCHAR) AS node_id FROM (SELECT DISTINCT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) AS m FROM conversations) WHERE m >= 2 AND turn >= 1""")
+def conversation_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations whose last turn leads back to turn 1: all but turn 0 lie on the cycle."""
+    nodes, edges = turn_graph(spark, d)
+    last = nodes.groupBy("workflow").agg(F.max("node_ord").alias("m")).where("m >= 2")
+    back = last.select("workflow", F.lit(-1).alias("edge_ord"), F.col("m").cast("string").alias("src"), F.lit("1").alias("dst"))
+    return G.cyclic(nodes, edges.unionByName(back))
+
+
+@query("""WITH e AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)
+  SELECT 'supply' AS workflow, 8 AS rule_order, 'repeated edge' AS rule, src || ' -> ' || dst AS item FROM e GROUP BY src, dst HAVING count(*) > 1
+  UNION ALL SELECT 'supply', 7, 'edge from an unknown node', src FROM e WHERE src LIKE 'c%' UNION ALL SELECT 'supply', 7, 'edge to an unknown node', dst FROM e WHERE dst LIKE 'n%'""")
+def supply_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Every part and supplier is a node, customers and nations are none, though edges name them."""
+    p, s, c, line = (read(spark, d, t) for t in ("part", "supplier", "customer", "lineitem"))
+    tag = lambda letter, column: F.concat(F.lit(letter), column)
+    ids = p.select(tag("p", "p_partkey").alias("node_id")).unionByName(s.select(tag("s", "s_suppkey").alias("node_id")))
+    ends = line.select(tag("p", "l_partkey").alias("src"), tag("s", "l_suppkey").alias("dst")).unionByName(c.select(tag("c", "c_custkey").alias("src"), tag("n", "c_nationkey").alias("dst")))
+    w = F.lit("supply").alias("workflow")
+    none = spark.createDataFrame([], "workflow string, channel string, reducer string")
+    return G.violations(ids.select(w).distinct(), ids.select(w, F.lit(0).alias("node_ord"), "node_id"), ends.select(w, F.lit(0).alias("edge_ord"), "src", "dst"), none)
+
+
+@query("""WITH n AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS node_id, count(*) AS n, sum(coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) + length(event_type)) AS t FROM events GROUP BY 1, 2)
+  SELECT run_id, 'repeated timeouts' AS finding, node_id FROM n WHERE node_id = 'error' AND n >= 2 UNION ALL SELECT run_id, 'many tokens', node_id FROM n WHERE t > 1000
+  UNION ALL SELECT run_id, 'repeated execution', node_id FROM n WHERE n > 2 UNION ALL SELECT run_id, 'expression failed', node_id FROM n WHERE node_id = 'signup' UNION ALL SELECT run_id, 'channel missing', node_id FROM n WHERE node_id = 'view'""")
+def diagnose_all(spark: SparkSession, d: str) -> DataFrame:
+    """All five findings."""
+    kind = F.when(F.col("node_id") == "signup", "TemplateException").when(F.col("node_id") == "view", "MissingChannelException").otherwise(F.col("error_class"))
+    return T.diagnosis(event_traces(spark, d).withColumn("error_class", kind), 2, 1000)
+
+
+@query("""WITH p(model, a, b) AS (VALUES ('click', 2.0, 4.0), ('view', 1.0, 0.5))
+  SELECT CAST(user_id AS VARCHAR) AS run_id, round(sum((CAST(json_extract_string(props, '$.k') AS BIGINT) * coalesce(a, 0) + length(event_type) * coalesce(b, 0)) / 1000.0::DOUBLE), 6) AS cost,
+  sum((CAST(json_extract_string(props, '$.k') AS BIGINT) * coalesce(a, 0) + length(event_type) * coalesce(b, 0)) / 1000.0::DOUBLE) > 2.0005 AS over_budget FROM events LEFT JOIN p ON model = event_type GROUP BY 1""")
+def run_costs(spark: SparkSession, d: str) -> DataFrame:
+    prices = spark.createDataFrame([("click", 2.0, 4.0), ("view", 1.0, 0.5)], "model string, prompt_price double, completion_price double")
+    found = T.costs(event_traces(spark, d).withColumn("model", F.col("node_id")), prices, 2.0005)
+    return found.select("run_id", F.round("cost", 6).alias("cost"), "over_budget")
+
+
+@query("""SELECT CAST(l_partkey AS VARCHAR) AS node_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS tokens FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+def token_top10(spark: SparkSession, d: str) -> DataFrame:
+    line = read(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("node_id"), F.col("l_quantity").cast("bigint").alias("prompt_tokens"), F.lit(None).cast("bigint").alias("completion_tokens"))
+    return T.top_tokens(line)
+
+
+@query("""SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS node_id, l_returnflag AS tool FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem m WHERE m.l_orderkey = l.l_orderkey AND m.l_returnflag = l.l_returnflag AND m.l_linenumber = 1)""")
+def tool_allowlist(spark: SparkSession, d: str) -> DataFrame:
+    """An order's flags that its first line doesn't allow."""
+    used = read(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("node_id"), F.col("l_returnflag").alias("tool"), "l_linenumber")
+    return T.forbidden_tools(used.select("node_id", "tool"), used.where("l_linenumber = 1").select("node_id", "tool"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS run_id, CAST(o_custkey AS VARCHAR) AS workflow, o_orderpriority AS version, c_mktsegment AS stored_version FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority IS DISTINCT FROM c_mktsegment""")
+def version_check(spark: SparkSession, d: str) -> DataFrame:
+    o, c = read(spark, d, "orders"), read(spark, d, "customer")
+    wanted = o.select(F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_custkey").cast("string").alias("workflow"), F.col("o_orderpriority").alias("version"))
+    return T.version_conflicts(wanted, c.select(F.col("c_custkey").cast("string").alias("workflow"), F.col("c_mktsegment").alias("version")))
+
+
+@query("""SELECT event_id, CAST(date_diff('millisecond', ts, CASE WHEN event_type = 'error' THEN TIMESTAMP '2030-01-01' ELSE ts + INTERVAL 1500 MILLISECOND END) AS BIGINT) AS duration_ms, event_id % 100 >= 50 AS exceeded FROM events""")
+def node_durations(spark: SparkSession, d: str) -> DataFrame:
+    """From start to end, or to now without an end; and whether the total is used up."""
+    e = read(spark, d, "events")
+    ended = F.when(F.col("event_type") != "error", F.col("ts") + F.expr("INTERVAL 1500 MILLISECOND"))
+    return e.select("event_id", S.duration_ms(F.col("ts"), ended, F.lit("2030-01-01").cast(e.schema["ts"].dataType)).alias("duration_ms"), S.workflow_exceeded(F.col("event_id") % 100, 50).alias("exceeded"))
+
+
+@query("""SELECT event_id, CASE WHEN k < 10 THEN '["$.k: must be at least 10"]' WHEN k > 60 THEN '["$.k: must be at most 60"]' ELSE '[]' END AS errors, CAST(k AS VARCHAR) AS k FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""")
+def json_schema_errors(spark: SparkSession, d: str) -> DataFrame:
+    schema = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 60}}}
+    props = F.col("props")
+    return read(spark, d, "events").select("event_id", F.to_json(S.json_errors(props, schema)).alias("errors"), F.try_element_at(S.json_map(props), F.lit("k")).alias("k"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN text IS NULL OR (role = 'user' AND turn > 0) THEN 'a' ELSE 'b' END AS choice FROM conversations""")
+def template_tests(spark: SparkSession, d: str) -> DataFrame:
+    """Tests of null, joined by and and or; the branch that isn't taken may name a missing key."""
+    c = read(spark, d, "conversations").withColumns({"context": F.create_map(F.lit("role"), F.col("role"), F.lit("turn"), F.col("turn").cast("string")), "inputs": F.create_map(F.lit("text"), F.col("text"))})
+    text, gone = resolve("${inputs.text == null or context.role == 'user' and context.turn > 0 ? 'a' : 'b'}")
+    return c.where(~gone).select("conv_id", "turn", text.alias("choice"))
