@@ -152,16 +152,16 @@ def dag_cycle_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def supply_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One graph with an edge per order line from its part to its supplier; only every other supplier is a node."""
+    """One graph with an edge per order line from its part to its supplier."""
     s, p, line = (read(spark, d, t) for t in ("supplier", "part", "lineitem"))
-    ids = p.select(F.concat(F.lit("p"), "p_partkey").alias("node_id")).unionByName(s.where("s_suppkey % 2 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node_id")))
+    ids = p.select(F.concat(F.lit("p"), "p_partkey").alias("node_id")).unionByName(s.select(F.concat(F.lit("s"), "s_suppkey").alias("node_id")))
     nodes = ids.select(F.lit("supply").alias("workflow"), F.lit(0).alias("node_ord"), "node_id")
     edges = line.select(F.lit("supply").alias("workflow"), F.col("l_linenumber").alias("edge_ord"), F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
     return s.select(F.lit("supply").alias("workflow")).limit(1), nodes, edges
 
 
 @query("""WITH e AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem),
-  n AS (SELECT 'p' || p_partkey AS id FROM part UNION SELECT 's' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)
+  n AS (SELECT 'p' || p_partkey AS id FROM part UNION SELECT 's' || s_suppkey FROM supplier)
   SELECT 'edge to an unknown node' AS rule, dst AS item FROM e WHERE dst NOT IN (SELECT id FROM n)
   UNION ALL SELECT 'edge from an unknown node', src FROM e WHERE src NOT IN (SELECT id FROM n)
   UNION ALL SELECT 'repeated edge', src || ' -> ' || dst FROM e GROUP BY src, dst HAVING count(*) > 1""")
@@ -188,10 +188,11 @@ def adjacency_lists(spark: SparkSession, d: str) -> DataFrame:
     return G.successors(nodes, edges).select("node_id", F.to_json("successors").alias("successors"), F.size("successors").cast("bigint").alias("n"))
 
 
-@query("SELECT 'supply' AS workflow, 's' || s_suppkey AS node_id, CAST(count(l_suppkey) AS BIGINT) AS in_degree FROM supplier LEFT JOIN lineitem ON s_suppkey=l_suppkey WHERE s_suppkey % 2 = 0 GROUP BY s_suppkey")
+@query("""SELECT 'supply' AS workflow, 's' || s_suppkey AS node_id, CAST(count(l_suppkey) AS BIGINT) AS in_degree FROM supplier LEFT JOIN lineitem ON s_suppkey=l_suppkey GROUP BY s_suppkey
+  UNION ALL SELECT 'supply', 'p' || p_partkey, 0 FROM part""")
 def in_degrees(spark: SparkSession, d: str) -> DataFrame:
     _, nodes, edges = supply_graph(spark, d)
-    return G.in_degree(nodes, edges).where(F.startswith("node_id", F.lit("s")))
+    return G.in_degree(nodes, edges)
 
 
 @query("""SELECT 'supply' AS workflow, 'p' || p_partkey AS node_id, CAST(0 AS BIGINT) AS in_degree FROM part
@@ -298,15 +299,16 @@ def log_lines(spark: SparkSession, d: str) -> DataFrame:
     return T.log_lines(c.select(F.col("conv_id").cast("string").alias("run_id"), F.col("turn").cast("string").alias("node_id"), F.col("text").alias("prompt"), F.col("role").alias("model"), F.length("text").alias("prompt_tokens"), F.lit(None).cast("int").alias("completion_tokens"), F.lit("sk-12345").alias("response")))
 
 
-@query("SELECT doc_id, CAST(length(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '***', 'g')) AS INTEGER) AS n FROM documents")
+@query("SELECT doc_id, CAST(length(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '***', 'g')) AS INTEGER) AS n, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '***', 'g')) AS digest FROM documents")
 def redact(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", F.length(S.redacted(F.col("text"), "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "***")).alias("n"))
+    out = S.redacted(F.col("text"), "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "***")
+    return read(spark, d, "documents").select("doc_id", F.length(out).alias("n"), F.md5(out).alias("digest"))
 
 
-@query("""SELECT event_type AS node_id, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1""")
+@query("""SELECT event_type AS node_id, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1""")
 def step_durations(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles are approximate by nature; the check compares what is exact."""
-    return T.step_percentiles(read(spark, d, "events").select(F.col("event_type").alias("node_id"), F.col("value").alias("duration_ms"))).select("node_id", "n")
+    found = T.step_percentiles(read(spark, d, "events").select(F.col("event_type").alias("node_id"), F.col("value").alias("duration_ms")), exact=True)
+    return found.select("node_id", "n", *(F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")))
 
 
 @query("""SELECT event_type AS node_id, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1""")
