@@ -135,6 +135,32 @@ def test_settle_is_exact():
         assert near.settle(sets).tolist() == [s.find(i) for i in range(len(sets))]
 
 
+@pytest.mark.parametrize(("rounds", "sets", "weight"), [(0, 8, 1 << 20), (2, 8, 1 << 20), (2, 256, 400)])
+def test_large_clusters_are_settled_alike(spark, make, monkeypatch, rounds, sets, weight):
+    """Clusters beyond a task's bound, with groups on both sides of the least similarity, against brute force over all pairs."""
+    r = random.Random(1)
+    texts = []
+    for n in (30, 90):
+        base = [f"w{r.randrange(900)}" for _ in range(n)]
+        for _ in range(60):
+            w = list(base)
+            for _ in range(r.randint(1, max(2, n // 12))):
+                w[r.randrange(n)] = f"v{r.randrange(900)}"
+            texts.append(" ".join(w))
+    said, s = [brute_shingles(t) for t in texts], Sets()
+    for a, b in ((a, b) for a in range(len(texts)) for b in range(a)):
+        if len(said[a] & said[b]) >= 0.8 * len(said[a] | said[b]):
+            s.join(a, b)
+    wanted = {(i, s.find(i)) for i in range(len(texts))}
+    assert 10 < len({c for _, c in wanted}) < len(texts) - 10
+    apart, seen = near.settled_apart, []
+    monkeypatch.setattr(near, "settled_apart", lambda rows, links: seen.append(rows.count()) or apart(rows, links))
+    for name, value in (("ROUNDS", rounds), ("SETS", sets), ("WEIGHT", weight)):
+        monkeypatch.setattr(near, name, value)
+    assert {(x.doc_id, x.component_id) for x in near.near_copies(make(*enumerate(texts), extra=True)).collect()} == wanted
+    assert seen[0] > 60
+
+
 @pytest.mark.parametrize("pairs", [0, 5, 48])
 def test_links_are_exact(spark, monkeypatch, pairs):
     monkeypatch.setattr(simhash, "PAIRS_UP_TO", pairs)
